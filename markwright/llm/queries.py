@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join
+import public_tokenizers
+
+from . import jaccard_join, language_id, line_dedup, repetition, token_files
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +17,22 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op6_ngram_jaccard_join,)}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_rules(read(spark, sf_dir, "documents"))
+
+
+def op9_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.boundaries(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op4_language_id, op5_substring_dedup, op6_ngram_jaccard_join, op7_quality_rules, op9_token_binary_output)}
 
 ORACLES: dict[str, str] = {}
