@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import jaccard_join, language_id, line_dedup, repetition, token_files
+from . import jaccard_join, language_id, line_dedup, repetition, token_files, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(warc.captures(read(spark, sf_dir, "pages")))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -33,6 +37,6 @@ def op9_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.boundaries(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op5_substring_dedup, op6_ngram_jaccard_join, op7_quality_rules, op9_token_binary_output)}
+QUERIES = {f.__name__: f for f in (op2_warc, op4_language_id, op5_substring_dedup, op6_ngram_jaccard_join, op7_quality_rules, op9_token_binary_output)}
 
 ORACLES: dict[str, str] = {}

@@ -97,7 +97,7 @@ def _dup_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def repetition_rules(docs: DataFrame, min_words: int = 8, max_covered: float = 0.2, max_longest: int = 100) -> DataFrame:
+def repetition_rules(docs: DataFrame, min_words: int = 8, max_covered: float = 0.3, max_longest: int = 100) -> DataFrame:
     """Counts, base rule and verdict per row of ``docs`` (doc_id, text)."""
 
     def run(parts):

@@ -143,7 +143,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, partiti
         ids: list[np.ndarray] = []
         missing: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
-        with fs.open_output_stream(path) as f:
+        with fs.open_output_stream(path, compression=None) as f:
             f.write(MAGIC)
             for batch in parts:
                 texts = [t or "" for t in batch.column("text").to_pylist()]
