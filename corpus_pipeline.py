@@ -1,19 +1,65 @@
-"""A five-stage corpus pipeline over ``documents``; part of the llm subpackage."""
+"""A five-stage corpus pipeline over ``documents``; part of the llm subpackage.
+
+Each stage takes (spark, docs, sf_dir) and works on every document its
+predecessor kept. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from markwright.llm import common, decontaminate, jaccard_join, language_id, line_dedup, piece_codec
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in no learned language or in another one than their label says; an unlabelled one only needs a language."""
+    found = language_id.identify(docs.select("doc_id", "text", "lang")).select(F.col("doc_id").alias("__id"), "lang_pred")
+    found = common.written(found, "languages").groupBy("__id").agg(F.collect_set("lang_pred").alias("__langs"))  # several only where rows repeat an id
+    kept = docs.join(found, F.expr("cast(doc_id as long) <=> __id"))
+    known = F.size(F.array_remove("__langs", "und")) > 0
+    return kept.where(known & F.coalesce(F.array_contains("__langs", F.col("lang")), F.lit(True))).select(*docs.columns)
+
+
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut repeated units; a document with nothing left goes."""
+    left = line_dedup.strip(docs)
+    counted = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
+    return counted.where(F.col("text").isNull() | F.col("text").rlike(r"\S"))
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document that is left."""
+    return piece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
-from markwright.llm import jaccard_join
 
 STAGES = [
-    ("n-gram Jaccard join", lambda spark, docs, sf_dir: jaccard_join.keep_one(docs)),
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", join_near_duplicates),
+    ("substring dedup", dedup_substrings),
+    ("benchmark decontamination", decontaminate_benchmark),
+    ("SentencePiece encoding", encode_pieces),
 ]
+
+#: Stages hash and segment in ways SQL can't express; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = common.written(docs, f"stage-{i}")
     return docs

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import jaccard_join, language_id, line_dedup, repetition, token_files, warc
+from . import decontaminate, jaccard_join, language_id, line_dedup, piece_codec, repetition, token_files, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(warc.captures(read(spark, sf_dir, "pages")))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -37,6 +41,10 @@ def op9_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.boundaries(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op4_language_id, op5_substring_dedup, op6_ngram_jaccard_join, op7_quality_rules, op9_token_binary_output)}
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_warc, op3_sentencepiece, op4_language_id, op5_substring_dedup, op6_ngram_jaccard_join, op7_quality_rules, op9_token_binary_output, op10_benchmark_decontamination)}
 
 ORACLES: dict[str, str] = {}
