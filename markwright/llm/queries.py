@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, piece_codec, repetition, token_files, warc
+from . import decontaminate, jaccard_join, kneser_ney, language_id, line_dedup, piece_codec, repetition, token_files, url_filter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = read(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return kneser_ney.classify(read(spark, sf_dir, "documents"), trusted)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(warc.captures(read(spark, sf_dir, "pages")))
 
@@ -37,6 +42,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(read(spark, sf_dir, "documents"))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return url_filter.evaluate(url_filter.captures_of(pages), url_filter.entries_of(pages))
+
+
 def op9_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.boundaries(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -45,6 +55,6 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_sentencepiece, op4_language_id, op5_substring_dedup, op6_ngram_jaccard_join, op7_quality_rules, op9_token_binary_output, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_sentencepiece, op4_language_id, op5_substring_dedup, op6_ngram_jaccard_join, op7_quality_rules, op8_url_filters, op9_token_binary_output, op10_benchmark_decontamination)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_url_filters": url_filter.ORACLE}
