@@ -11,8 +11,10 @@ Jaccard >= t must share a token among the first ``n - ceil(t n) + 1`` of each.
    frequent go as rows and are pre-aggregated instead.
 3. ``candidates``  tokens in one group only vanish in their shard. Small
    buckets give their pairs, larger ones a star around their least member.
-4. Group pairs pass the length filter, expand to the groups' distinct sets
-   and are verified exactly on the texts.
+4. Group pairs pass the length filter and expand to the groups' distinct sets.
+   Parity bitmaps of about two bits a shingle bound each pair's overlap from
+   above (differing bits need differing shingles); what the bound can't rule
+   out is verified exactly on the texts.
 5. Buckets whose members are not yet in one component give the pairs that
    cross components, verified too. A pair within a component can't
    change it, so the components equal those of all pairs, while a group of
@@ -61,6 +63,23 @@ def _fingerprint(u: np.ndarray) -> bytes:
     return hashlib.blake2b(u.tobytes(), digest_size=16).digest()
 
 
+def parity_bits(u: np.ndarray) -> bytes:
+    """A bitmap of at least two bits a shingle in which every shingle flips one bit."""
+    size = 1 << max(6, int(2 * len(u) - 1).bit_length())
+    odd = np.bincount((u >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def most_shared(n: int, m: int, x: bytes, y: bytes) -> int:
+    """Upper bound of the overlap of two sets of n and m shingles from their bitmaps."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):  # a wider bitmap folds to half its width
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return (n + m - int(np.bitwise_count(a ^ b).sum())) // 2
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -94,9 +113,9 @@ def _counted(size: int):
     return run
 
 
-INDEX = "kind int, doc_id long, n int, fp binary, gkey long, token long, shard int, data binary"
+INDEX = "kind int, doc_id long, n int, fp binary, bits binary, gkey long, token long, shard int, data binary"
 _INDEX = pa.schema(
-    [("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("fp", pa.binary()), ("gkey", pa.int64()), ("token", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())]
+    [("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("fp", pa.binary()), ("bits", pa.binary()), ("gkey", pa.int64()), ("token", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())]
 )
 
 
@@ -143,7 +162,7 @@ def _indexed(size: int, percent: int, frequent, shards: int):
 
         for batch in parts:
             ids, valid = longs(batch.column("doc_id")), batch.column("doc_id").is_valid()
-            n_row, fps, gkeys = np.zeros(len(batch), np.int32), [None] * len(batch), np.zeros(len(batch), np.int64)
+            n_row, fps, bits, gkeys = np.zeros(len(batch), np.int32), [None] * len(batch), [None] * len(batch), np.zeros(len(batch), np.int64)
             for row, u in sets_of(batch, size):
                 n = n_row[row] = len(u)
                 if not n:
@@ -159,7 +178,7 @@ def _indexed(size: int, percent: int, frequent, shards: int):
                     late = u[common]
                     late = late[np.lexsort((late, freq_cnt[at[common]]))][: p - len(pre)]
                 g = xxhash.xxh3_64_intdigest(pre.tobytes() + b"|" + late.tobytes(), seed=int(n)) >> 1
-                fps[row], gkeys[row] = _fingerprint(u), g
+                fps[row], bits[row], gkeys[row] = _fingerprint(u), parity_bits(u), g
                 if not valid[row].as_py() or g in known:
                     continue
                 known.add(g)
@@ -172,7 +191,7 @@ def _indexed(size: int, percent: int, frequent, shards: int):
                 if held >= FLUSH:
                     yield from flush()
                     tokens, owners, often, known, held = [], [], [], set(), 0
-            full = {"kind": pa.array(np.zeros(len(batch), np.int32)), "doc_id": pc.cast(batch.column("doc_id"), pa.int64()), "n": pa.array(n_row), "fp": pa.array(fps, pa.binary()), "gkey": pa.array(gkeys, mask=n_row == 0)}
+            full = {"kind": pa.array(np.zeros(len(batch), np.int32)), "doc_id": pc.cast(batch.column("doc_id"), pa.int64()), "n": pa.array(n_row), "fp": pa.array(fps, pa.binary()), "bits": pa.array(bits, pa.binary()), "gkey": pa.array(gkeys, mask=n_row == 0)}
             yield pa.RecordBatch.from_arrays([full.get(f.name, pa.nulls(len(batch), f.type)) for f in _INDEX], schema=_INDEX)
         yield from flush()
 
@@ -237,8 +256,23 @@ def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    pairs = written(pairs, "pairs")
+def _possible(percent: int):
+    def run(parts):
+        for batch in parts:
+            n, m = longs(batch.column("na")), longs(batch.column("nb"))
+            x, y = batch.column("xa").to_pylist(), batch.column("xb").to_pylist()
+            good = np.zeros(len(batch), bool)
+            for i in range(len(batch)):
+                both = most_shared(int(n[i]), int(m[i]), x[i], y[i])
+                good[i] = 100 * both >= percent * (n[i] + m[i] - both)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
+
+    return run
+
+
+def _verify(docs: DataFrame, sketch: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    near = pairs.join(sketch.toDF("a", "na", "xa"), "a").join(sketch.toDF("b", "nb", "xb"), "b").select("a", "b", "na", "nb", "xa", "xb")
+    pairs = written(near.mapInArrow(_possible(percent), "a long, b long").distinct(), "pairs")
     texts = _texts(docs, pairs)
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     return written(both.mapInArrow(_verified(size, percent), "a long, b long"), "links")
@@ -266,6 +300,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     index = written(docs.mapInArrow(_indexed(size, percent, frequent, shards), INDEX), "index")
     rows = index.where("kind = 0").select("doc_id", "n", "fp", "gkey")
     classes = written(rows.where("n > 0 and doc_id is not null").groupBy("fp", "gkey", "n").agg(F.min("doc_id").alias("cid")), "classes")
+    sketch = index.where("kind = 0 and n > 0 and doc_id is not null").select("doc_id", "n", "bits")
     groups = classes.groupBy("gkey", "n").agg(F.min("cid").alias("rep"), F.count("*").alias("k"))
     sharded = index.where("kind = 1").select("shard", "data").groupBy("shard").applyInArrow(_shard, "kind int, a long, b long")
     sharded = written(sharded, "sharded")
@@ -285,11 +320,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
         .union(pairs.where("kb > 1").join(many.select(F.col("gkey").alias("b"), "member"), "b").select("ra", "member"))
         .union(pairs.where("ka > 1").join(many.select(F.col("gkey").alias("a"), "member"), "a").select("rb", "member"))
     )
-    first = ordered(expanded)
+    first = written(ordered(expanded), "first")
     # Documents that repeat a doc_id are one node: each class's cid is its least doc_id.
     own = rows.where("n > 0 and doc_id is not null").join(classes, ["fp", "gkey", "n"]).select(F.col("doc_id").alias("a"), F.col("cid").alias("b")).distinct()
     twice = own.join(own.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "a", "left_semi").where("a <> b")
-    links = _verify(docs, first, size, percent).union(twice)
+    links = _verify(docs, sketch, first, size, percent).union(twice)
     comp = components(links)
 
     labelled = lambda df, c: df.join(comp.select(F.col("node").alias(c), "component"), c, "left").withColumn("component", F.coalesce("component", c))
@@ -304,8 +339,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     mixed = bucketed.groupBy("token", "of").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", "of")
     open_rows = written(bucketed.join(mixed, ["token", "of"], "left_semi").distinct(), "open")
     x, y = open_rows.toDF("token", "of", "a", "na", "ca"), open_rows.toDF("token", "of", "b", "nb", "cb")
-    rest = ordered(x.join(y, ["token", "of"]).where((F.col("ca") < F.col("cb")) & lengths).select("a", "b")).join(written(first, "first"), ["a", "b"], "left_anti")
-    more = _verify(docs, rest, size, percent)
+    rest = ordered(x.join(y, ["token", "of"]).where((F.col("ca") < F.col("cb")) & lengths).select("a", "b")).join(first, ["a", "b"], "left_anti")
+    more = _verify(docs, sketch, rest, size, percent)
     if not more.isEmpty():
         comp = components(links.union(more))
     final = labelled(classes, "cid").select("fp", "gkey", "n", "component")
