@@ -1,4 +1,8 @@
 """Registry of the library's own queries and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from .plans import answer_queries, metric_queries  # noqa: F401  (both fill the registry)
+
+QUERIES = answer_queries.QUERIES
+ORACLES = answer_queries.ORACLES
