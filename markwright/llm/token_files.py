@@ -1,8 +1,8 @@
 """Token-id files with Elias-Fano document boundaries (operator 9).
 
 Documents, range-partitioned by doc_id, are encoded and written as shards in
-the shared folder: a header, the document ids, the concatenated 32-bit token
-ids, and the boundaries as an Elias-Fano sequence (low bits packed, high bits
+the shared folder: a header, the document ids, the concatenated token
+ids (16 bits each where the vocabulary allows), and the boundaries as an Elias-Fano sequence (low bits packed, high bits
 in unary, with sampled select positions), which takes about 2 + log2(mean
 length) bits a document instead of 64. Readers find any document's offset by
 select; the bases of the shards are prefix sums of one number a shard.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from .common import filesystem, shared_path
 
 MAGIC = b"MWTOK001"
 SAMPLE = 256  # every so many set bits a select position is stored
-WORDS = 400_000  # cached words a worker keeps
+WORDS = 700_000  # cached words, and runs, a worker keeps
 _state: dict = {}
 
 
@@ -90,22 +91,47 @@ class EliasFano:
 
 
 class Encoder:
-    """The library's encoder behind a cache of words.
+    """The library's encoder behind caches of words and of their runs.
 
-    Byte-level pre-tokenisation never joins text across a single blank between
-    two words, and keeps that blank with the word after it. Texts with doubled
-    blanks go to the library whole.
+    Byte-level pre-tokenisation keeps a single blank with the word after it and
+    never joins text across it, so words are encoded on their own; a word
+    without an apostrophe falls into runs of letters, digits, other
+    characters and single line breaks the same way. Whatever is not of that form goes to the library whole, as do texts with doubled blanks.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.small = self.tok.get_vocab_size() <= 65536
         self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.plain = regex.compile(r"(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}\'\x1c-\x1f\x85]+)(?:\n?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}\'\x1c-\x1f\x85]+))*")
+        self.run = regex.compile(r"\p{L}+|\p{N}+|\n|[^\s\p{L}\p{N}]+")
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode words that follow a blank."""
+        whole, split = [], []
+        for w in new:
+            if self.plain.fullmatch(w):
+                parts = self.run.findall(w)
+                parts[0] = f" {parts[0]}"
+                split.append((w, parts))
+            else:
+                whole.append(w)
+        runs = self.runs
+        if len(runs) > WORDS:
+            runs.clear()
+        fresh = list({p for _, parts in split for p in parts if p not in runs})
+        runs.update(zip(fresh, self.library(fresh), strict=True))
+        for w, parts in split:
+            self.words[w] = b"".join([runs[p] for p in parts])
+        self.words.update(zip(whole, self.library([f" {w}" for w in whole]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
@@ -113,9 +139,7 @@ class Encoder:
         cache = self.words
         if len(cache) > WORDS:
             cache.clear()
-        new = list({w for parts in split if parts for w in parts[1:] if w not in cache})
-        for i in range(0, len(new), 20_000):
-            cache.update(zip(new[i : i + 20_000], self.library([f" {w}" for w in new[i : i + 20_000]]), strict=True))
+        self._learn(list({w for parts in split if parts for w in parts[1:] if w not in cache}))
         heads = self.library([t if parts is None else parts[0] for t, parts in zip(texts, split, strict=True)])
         return [h if parts is None else h + b"".join(map(cache.__getitem__, parts[1:])) for h, parts in zip(heads, split, strict=True)]
 
@@ -136,6 +160,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, partiti
         from pyspark import TaskContext
 
         enc, end = _encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        width = 2 if enc.small and end_id < 65536 else 4
         fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
         part = TaskContext.get().partitionId()
@@ -154,7 +179,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, partiti
                         size += len(texts[j])
                         j += 1
                     raw = [x + end for x in enc.encode(texts[i:j])]
-                    f.write(b"".join(raw))
+                    flat = b"".join(raw)
+                    f.write(np.frombuffer(flat, "<u4").astype("<u2").tobytes() if width == 2 else flat)
                     lengths.append(np.array([len(x) // 4 for x in raw], np.int64))
                     i = j
                 column = batch.column("doc_id")
@@ -166,7 +192,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, partiti
             names = np.concatenate(ids).astype("<i8").tobytes() if ids else b""
             nulls = np.concatenate(missing).astype(np.uint8).tobytes() if missing else b""
             total = int(ends[-1]) if len(ends) else 0
-            foot = json.dumps({"n_docs": len(size), "n_tokens": total, "ids": len(names), "nulls": len(nulls), "ef": len(ef)}).encode()
+            foot = json.dumps({"n_docs": len(size), "n_tokens": total, "ids": len(names), "nulls": len(nulls), "ef": len(ef), "width": width}).encode()
             f.write(names + nulls + ef + foot + len(foot).to_bytes(8, "little"))
         if len(size):
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "path": [path], "n_docs": pa.array([len(size)], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
@@ -183,6 +209,7 @@ class Shard:
         n = int.from_bytes(source.read(8), "little")
         source.seek(size - 8 - n)
         self.meta = json.loads(source.read(n))
+        self.width = self.meta["width"]
         tail = self.meta["ids"] + self.meta["nulls"] + self.meta["ef"]
         source.seek(size - 8 - n - tail)
         raw = source.read(tail)
@@ -195,8 +222,8 @@ class Shard:
 
     def tokens(self, i: int) -> np.ndarray:
         a, b = self.start(i), self.ends.select(i)
-        self.f.seek(len(MAGIC) + 4 * a)
-        return np.frombuffer(self.f.read(4 * (b - a)), "<u4")
+        self.f.seek(len(MAGIC) + self.width * a)
+        return np.frombuffer(self.f.read(self.width * (b - a)), f"<u{self.width}").astype("<u4")
 
     def documents(self, step: int = 4_000_000) -> Iterator[tuple[int, int, int, int]]:
         """(row, start, n_tokens, crc32) of every document, read through in order."""
@@ -206,7 +233,8 @@ class Shard:
         i = 0
         while i < len(ends):
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + step, "right")))
-            raw = memoryview(self.f.read(4 * int(ends[j - 1] - starts[i])))
+            raw = self.f.read(self.width * int(ends[j - 1] - starts[i]))
+            raw = memoryview(raw if self.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes())
             for k in range(i, j):
                 a, b = 4 * int(starts[k] - starts[i]), 4 * int(ends[k] - starts[i])
                 yield k, int(starts[k]), int(ends[k] - starts[k]), zlib.crc32(raw[a:b])
