@@ -15,10 +15,11 @@ Jaccard >= t must share a token among the first ``n - ceil(t n) + 1`` of each.
    Parity bitmaps of about two bits a shingle bound each pair's overlap from
    above (differing bits need differing shingles); what the bound can't rule
    out is verified exactly on the texts.
-5. Buckets whose members are not yet in one component give the pairs that
-   cross components, verified too. A pair within a component can't
-   change it, so the components equal those of all pairs, while a group of
-   m near copies costs O(m), not m^2.
+5. Buckets whose members are not yet in one component are compared in tasks of
+   two blocks of members: only pairs that cross components, and that lengths and
+   bitmaps allow, come out and are verified. A pair within a component can't
+   change it, so the components equal those of all pairs, and a group of m near
+   copies costs O(m) verified pairs, not m^2.
 
 Nulls and empty texts have no shingles (``n_shingles`` 0) and link with nothing.
 A null doc_id keeps its row with a null component. Rows that repeat a
@@ -46,6 +47,7 @@ LOCAL = 4  # a shingle in so many distinct sets of one task's flush is reported
 MOST_FREQUENT = 1_000_000  # bound of the frequent list that is broadcast (16 MB)
 SMALL = 8  # buckets up to here give all their (at most 28) pairs at once
 SHARD_ROWS = 1_000_000
+BLOCK = 512  # members of a large bucket that are compared with as many at once
 BROADCAST_IDS = 2_000_000  # ids broadcast to filter texts; beyond it the filter is a shuffled join
 
 
@@ -270,6 +272,90 @@ def _possible(percent: int):
     return run
 
 
+def _possible_pairs(n: np.ndarray, comp: np.ndarray, own: np.ndarray, split: bool, bits: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of one bucket's members (of its two blocks, if split) in different components that lengths and bitmaps allow."""
+    width = np.fromiter(map(len, bits), np.int64, len(bits))
+    left, right = [], []
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        maps = np.frombuffer(b"".join([bits[i] for i in at]), np.uint64).reshape(len(at), -1)
+        wide = np.flatnonzero(width == 2 * w)  # sets that may link differ in width by one doubling at most
+        if len(wide):
+            folded = np.frombuffer(b"".join([bits[i] for i in wide]), np.uint64).reshape(len(wide), -1)
+            folded = folded[:, : maps.shape[1]] ^ folded[:, maps.shape[1] :]
+            every, all_maps = np.concatenate([at, wide]), np.concatenate([maps, folded])
+        else:
+            every, all_maps = at, maps
+        step = max(1, 2_000_000 // all_maps.size)
+        for k in range(0, len(at), step):
+            x, y = at[k : k + step, None], every[None, :]
+            ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & ((x < y) | (width[y] > w))
+            if split:
+                ok &= own[x] != own[y]
+            i, j = np.nonzero(ok)
+            if len(i):
+                apart = np.zeros(len(i), np.int64)
+                for c in range(0, len(i), 50_000):
+                    apart[c : c + 50_000] = np.bitwise_count(maps[k + i[c : c + 50_000]] ^ all_maps[j[c : c + 50_000]]).sum(1)
+                u, v = at[k + i], every[j]
+                both = (n[u] + n[v] - apart) // 2
+                good = 100 * both >= percent * (n[u] + n[v] - both)
+                left.append(u[good])
+                right.append(v[good])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _first_common(u: np.ndarray, v: np.ndarray, codes: list, code: int) -> np.ndarray:
+    """For pairs (u, v) of a bucket's members: have they no common bucket with a smaller code than this one's?"""
+    size = np.fromiter((0 if c is None else len(c) for c in codes), np.int64, len(codes))
+    flat = np.concatenate([np.zeros(0, np.int64), *[np.asarray(c, np.int64) for c in codes if c is not None]])
+    who = np.repeat(np.arange(len(codes)), size)[flat < code]
+    smaller, at = np.unique(flat[flat < code], return_inverse=True)
+    seen = np.zeros((len(codes), len(smaller)), bool)
+    seen[who, at] = True
+    seen = np.packbits(seen, axis=1)
+    out = np.zeros(len(u), bool)
+    for k in range(0, len(u), 20_000):
+        out[k : k + 20_000] = ~(seen[u[k : k + 20_000]] & seen[v[k : k + 20_000]]).any(1)
+    return out
+
+
+def _crossing(percent: int):
+    """Rows sorted by bucket and block pair to possible pairs; holds the members of one block pair."""
+
+    def run(parts):
+        held: pa.Table | None = None
+
+        def pairs(table: pa.Table, last: bool):
+            key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("token", "of", "i", "j")])
+            edge = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0), [True]]))
+            keep = edge[-1] if last else edge[-2]
+            cid, n, comp, own = (table.column(c).to_numpy().astype(np.int64) for c in ("cid", "n", "component", "own"))
+            bits, code, codes = (table.column(c).to_pylist() for c in ("bits", "code", "codes"))
+            a, b = [], []
+            for s, e in zip(edge[:-1], edge[1:], strict=True):
+                if s < keep and e - s > 1:
+                    x, y = _possible_pairs(n[s:e], comp[s:e], own[s:e], bool(key[2, s] != key[3, s]), bits[s:e], percent)
+                    if len(x):
+                        one = _first_common(x, y, codes[s:e], code[s])
+                        x, y = cid[s:e][x[one]], cid[s:e][y[one]]
+                        a.append(np.minimum(x, y))
+                        b.append(np.maximum(x, y))
+            found = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
+            return pa.table({"a": found[0], "b": found[1]}), table.slice(keep)
+
+        for batch in parts:
+            rows = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, rows]) if held is not None else rows
+            found, held = pairs(held, False)
+            yield from batches(found)
+        if held is not None and len(held):
+            yield from batches(pairs(held, True)[0])
+
+    return run
+
+
 def _verify(docs: DataFrame, sketch: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     near = pairs.join(sketch.toDF("a", "na", "xa"), "a").join(sketch.toDF("b", "nb", "xb"), "b").select("a", "b", "na", "nb", "xa", "xb")
     pairs = written(near.mapInArrow(_possible(percent), "a long, b long").distinct(), "pairs")
@@ -335,11 +421,24 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     )
     cross_groups = pairs.where("ka > 1 or kb > 1").select("a", "b", F.xxhash64("a", "b").alias("token"))
     cross_groups = cross_groups.select("token", F.explode(F.array("a", "b")).alias("gkey")).join(classes.select("gkey", "cid", "n"), "gkey")
-    bucketed = labelled(bucketed.union(cross_groups.select("token", F.lit(2).alias("of"), "cid", "n")), "cid")
-    mixed = bucketed.groupBy("token", "of").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", "of")
-    open_rows = written(bucketed.join(mixed, ["token", "of"], "left_semi").distinct(), "open")
-    x, y = open_rows.toDF("token", "of", "a", "na", "ca"), open_rows.toDF("token", "of", "b", "nb", "cb")
-    rest = ordered(x.join(y, ["token", "of"]).where((F.col("ca") < F.col("cb")) & lengths).select("a", "b")).join(first, ["a", "b"], "left_anti")
+    bucketed = written(labelled(bucketed.union(cross_groups.select("token", F.lit(2).alias("of"), "cid", "n")).distinct(), "cid"), "buckets")
+    mixed = bucketed.groupBy("token", "of").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("cid")).alias("who")
+    )
+    # Buckets of the same members give the same pairs: one of them is enough.
+    mixed = mixed.where("lo < hi").groupBy("m", "who", "lo", "hi").agg(F.min(F.struct("token", "of")).alias("one")).select("one.token", "one.of", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
+    open_rows = bucketed.join(mixed, ["token", "of"]).join(sketch.select(F.col("doc_id").alias("cid"), F.col("n"), "bits"), ["cid", "n"])
+    own = F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int")
+    # A pair comes out of its first common bucket only; ids with several texts, whose buckets differ by text, out of each.
+    open_rows = written(open_rows.withColumn("code", F.xxhash64("token", "of")), "open")
+    several = classes.groupBy("cid").agg(F.count("*").alias("c")).where("c > 1").select("cid")
+    codes = open_rows.groupBy("cid").agg(F.collect_set("code").alias("codes")).join(several, "cid", "left_anti")  # at most a prefix of buckets
+    open_rows = open_rows.join(codes, "cid", "left")
+    halves = open_rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
+    halves = halves.select("token", "of", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "n", "component", "bits", "code", "codes")
+    keys = ["token", "of", "i", "j"]
+    rest = halves.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_crossing(percent), "a long, b long")
+    rest = ordered(rest).join(first, ["a", "b"], "left_anti")
     more = _verify(docs, sketch, rest, size, percent)
     if not more.isEmpty():
         comp = components(links.union(more))
