@@ -318,13 +318,14 @@ def explain(matrix: DataFrame, features: list[str], kind: str, params: dict, tar
         x = pdf[features].to_numpy(float)
         head = Head(kind, params, seed).fit(x, pdf.y.to_numpy(float))
         if head.constant:
-            return pd.DataFrame({"dataset": [], "row_id": [], "feature": [], "value": [], "shap": [], "split_count": []})
+            return pd.DataFrame({c: np.array([], object if c in ("dataset", "feature") else float) for c in ("dataset", "row_id", "feature", "value", "shap", "split_count")})
         pick = np.unique(np.rint(np.linspace(0, len(x) - 1, min(n_rows, len(x)))).astype(int))
         c = head.model.contributions(x[pick])
         shap = np.abs(c[:, :, :-1]).mean(1) if kind == "classification" else c[:, 0, :-1]
         count = head.model.importance(len(features))
         ids = pdf.row_id.to_numpy()[pick]
         m = len(features)
-        return pd.DataFrame({"dataset": pdf.dataset.iloc[0], "row_id": np.repeat(ids, m), "feature": features * len(pick), "value": x[pick].ravel(), "shap": shap.ravel(), "split_count": np.tile(count, len(pick))})
+        name = np.full(len(pick) * m, str(pdf.dataset.iloc[0]), object)
+        return pd.DataFrame({"dataset": name, "row_id": np.repeat(ids, m), "feature": np.array(list(features) * len(pick), object), "value": x[pick].ravel(), "shap": shap.ravel(), "split_count": np.tile(count, len(pick))})
 
     return rows.groupBy("dataset").applyInPandas(one, "dataset string, row_id long, feature string, value double, shap double, split_count double")
