@@ -57,8 +57,8 @@ def _keys(code: str, at: np.ndarray) -> np.ndarray:
     c = np.frombuffer(code.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     key = np.zeros(len(at), np.uint64)
     for k in range(ORDER):
-        key = mix(key * np.uint64(0x2545F4914F6CDD1D) + c[at + k] + np.uint64(1))
-    return key
+        key = key * np.uint64(0x2545F4914F6CDD1D) + c[at + k]
+    return mix(key)
 
 
 
@@ -168,8 +168,9 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, n_scored (characters), perplexity of each row of ``docs`` (doc_id, text, lang)."""
     spark = docs.sparkSession
     asked = written(docs.select("doc_id", "text", "lang").mapInArrow(_grams(False), GRAMS).select("block", "key", "gram"), "kn-requests")
-    known = resolve(model, asked.select("gram").distinct())
-    answers = asked.join(known, "gram").select("block", "key", F.ln("p").alias("logp"))
+    each = written(asked.groupBy("key").agg(F.first("gram").alias("gram")), "kn-distinct")
+    known = each.join(resolve(model, each.select("gram")), "gram").select("key", F.ln("p").alias("logp"))
+    answers = asked.select("block", "key").join(known, "key").select("block", "key", "logp")
     folder = shared_path(spark, "kn-answers")
     packed = answers.groupBy("block").applyInArrow(_packed, "block int, data binary")
 
