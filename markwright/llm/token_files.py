@@ -29,7 +29,7 @@ from .common import filesystem, shared_path
 
 MAGIC = b"MWTOK001"
 SAMPLE = 256  # every so many set bits a select position is stored
-WORDS = 700_000  # cached words, and runs, a worker keeps
+WORDS = 800_000  # cached words a worker keeps
 _state: dict = {}
 
 
@@ -91,47 +91,39 @@ class EliasFano:
 
 
 class Encoder:
-    """The library's encoder behind caches of words and of their runs.
+    """The library's encoder behind a cache of words.
 
     Byte-level pre-tokenisation keeps a single blank with the word after it and
-    never joins text across it, so words are encoded on their own; a word
-    without an apostrophe falls into runs of letters, digits, other
-    characters and single line breaks the same way. Whatever is not of that form goes to the library whole, as do texts with doubled blanks.
+    never joins text across it, so words are encoded once. New ones go to the
+    library many to a call, each behind a blank: exactly the tokens that start
+    with a blank then start a word. Texts with doubled blanks go to the library whole.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.small = self.tok.get_vocab_size() <= 65536
+        vocabulary = self.tok.get_vocab()
+        self.small = len(vocabulary) <= 65536
+        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.starts[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # the blank's byte
         self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-        self.plain = regex.compile(r"(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}\'\x1c-\x1f\x85]+)(?:\n?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}\'\x1c-\x1f\x85]+))*")
-        self.run = regex.compile(r"\p{L}+|\p{N}+|\n|[^\s\p{L}\p{N}]+")
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
         """Encode words that follow a blank."""
-        whole, split = [], []
-        for w in new:
-            if self.plain.fullmatch(w):
-                parts = self.run.findall(w)
-                parts[0] = f" {parts[0]}"
-                split.append((w, parts))
+        for i in range(0, len(new), 1000):
+            part = new[i : i + 1000]
+            raw = self.library([" " + " ".join(part)])[0]
+            at = np.flatnonzero(self.starts[np.frombuffer(raw, "<u4")])
+            if len(at) == len(part):
+                cut = [*(4 * at).tolist(), len(raw)]
+                self.words.update(zip(part, [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], strict=True))
             else:
-                whole.append(w)
-        runs = self.runs
-        if len(runs) > WORDS:
-            runs.clear()
-        fresh = list({p for _, parts in split for p in parts if p not in runs})
-        runs.update(zip(fresh, self.library(fresh), strict=True))
-        for w, parts in split:
-            self.words[w] = b"".join([runs[p] for p in parts])
-        self.words.update(zip(whole, self.library([f" {w}" for w in whole]), strict=True))
+                self.words.update(zip(part, self.library([f" {w}" for w in part]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
