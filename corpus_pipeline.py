@@ -14,12 +14,15 @@ from markwright.llm import common, decontaminate, jaccard_join, language_id, lin
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no learned language or in another one than their label says; an unlabelled one only needs a language."""
-    found = language_id.identify(docs.select("doc_id", "text", "lang")).select(F.col("doc_id").alias("__id"), "lang_pred")
-    found = common.written(found, "languages").groupBy("__id").agg(F.collect_set("lang_pred").alias("__langs"))  # several only where rows repeat an id
-    kept = docs.join(found, F.expr("cast(doc_id as long) <=> __id"))
-    known = F.size(F.array_remove("__langs", "und")) > 0
-    return kept.where(known & F.coalesce(F.array_contains("__langs", F.col("lang")), F.lit(True))).select(*docs.columns)
+    """Drop documents in no learned language or in another one than their label says; an unlabelled one only needs a language.
+
+    Where rows repeat an id, one acceptable row keeps all of them; documents without an id stay.
+    """
+    found = common.written(language_id.identify(docs.select("doc_id", "text", "lang")).select("doc_id", "lang_pred"), "languages")
+    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").join(found, "doc_id")
+    good = (F.col("lang_pred") != "und") & F.coalesce(F.col("lang_pred") == F.col("lang"), F.lit(True))
+    rejected = both.groupBy("doc_id").agg(F.max(good).alias("good")).where("not good").select("doc_id")
+    return jaccard_join.without(docs, rejected)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -449,8 +449,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     return out
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but those whose doc_id is in ``ids``; texts are shuffled only if the ids are too many to broadcast."""
+    ids = written(ids.where("doc_id is not null").distinct(), "dropped")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """``docs`` with one document (the smallest doc_id) of each linked group; null ids stay."""
     comp = jaccard_components(docs, size, percent)
-    dropped = comp.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, comp.where("doc_id <> component_id").select("doc_id"))
