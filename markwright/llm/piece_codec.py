@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 BLANK = "▁"
-WORDS = 400_000  # words a worker remembers
+WORDS = 1_200_000  # words a worker remembers (about 260 MB)
 UNKNOWN_PENALTY = 10.0
 _PARTS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 _state: dict[str, Codec] = {}
