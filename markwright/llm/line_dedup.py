@@ -3,10 +3,12 @@
 Texts split into units: lines, and within them sentences, so that a passage
 set into a paragraph is found as well. A unit is normalised (lower case, runs
 of white space as one blank) and digested (128 bits). A unit of fewer than
-``min_words`` words counts only together with the unit before it, so that
-ordinary short phrases stay. Digests are grouped globally with pre-aggregation;
-the occurrence with the smallest (doc_id, position) stays, every other is
-removed and its character span in the original text is retained.
+``min_words`` words counts only together with the units before it, as many as
+``min_words`` words take, so that ordinary short phrases stay while a repeated
+run of short units goes as a whole. Digests are grouped globally with
+pre-aggregation; the occurrence with the smallest (doc_id, position) stays,
+every other is removed and its character span in the original text is retained.
+Removed spans don't overlap, nor does one reach into the occurrence that stays.
 
 Null texts stay null, empty ones empty, both without units. A null doc_id ranks
 last. Rows that repeat a doc_id are told apart by a digest of their text; of
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import batches, written
 
-UNIT = "key binary, rank struct<id: long, text_key: binary, unit: int>, start int, end int"
+UNIT = "key binary, rank struct<id: long, text_key: binary, end: int>, start int"
 _BREAK = {"sentence": re.compile(r"\s*\n\s*|(?<=[.!?])[ \t]+"), "line": re.compile(r"\n"), "paragraph": re.compile(r"\n\s*\n")}
+REMOVED = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first_doc", pa.int64())]))
 LAST = 2**63 - 1
 
 
@@ -43,14 +47,29 @@ def units(text: str, level: str = "sentence") -> Iterator[tuple[int, int]]:
 
 
 def keyed(text: str, min_words: int, level: str) -> Iterator[tuple[bytes | None, int, int]]:
-    """(digest or None, start, end) of every unit."""
-    before, n_before = "", 0
+    """(digest or None, start, end) of every unit; the start is that of the first unit digested with it.
+
+    A run of units that repeats one it overlaps starts after the end of that one, which may be the occurrence that stays.
+    """
+    first: dict[bytes, int] = {}  # end of a digest's first run here
+    run: deque[tuple[str, int, int]] = deque()  # the fewest last units of min_words words
+    total = 0
     for a, b in units(text, level):
         words = text[a:b].lower().split()
-        own, n = " ".join(words), len(words)
-        key = own if n >= min_words else f"{before}\n{own}" if n and n + n_before >= min_words else None
-        yield key and hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest(), a, b
-        before, n_before = own, n
+        if not words:
+            yield None, a, b
+            continue
+        run.append((" ".join(words), len(words), a))
+        total += len(words)
+        while total - run[0][1] >= min_words:
+            total -= run.popleft()[1]
+        if total < min_words:
+            yield None, a, b
+        else:
+            key = "\n".join(own for own, _, _ in run)
+            digest = hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            stays = first.setdefault(digest, b)
+            yield digest, run[0][2] if stays == b else next(start for _, _, start in run if start >= stays), b
 
 
 def text_key(text: str) -> bytes:
@@ -60,24 +79,24 @@ def text_key(text: str) -> bytes:
 def _emitted(min_words: int, level: str):
     def run(parts):
         for batch in parts:
-            key, ids, texts, unit, start, end = [], [], [], [], [], []
+            key, ids, texts, start, end = [], [], [], [], []
 
             def rows():
-                rank = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()), pa.array(unit, pa.int32())], ["id", "text_key", "unit"])
-                return pa.table({"key": pa.array(key, pa.binary()), "rank": rank, "start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32())})
+                rank = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()), pa.array(end, pa.int32())], ["id", "text_key", "end"])
+                return pa.table({"key": pa.array(key, pa.binary()), "rank": rank, "start": pa.array(start, pa.int32())})
 
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 if (t := text.as_py()) is None:
                     continue
                 own = text_key(t)
                 i = LAST if (i := doc_id.as_py()) is None else i
-                for k, (digest, a, b) in enumerate(keyed(t, min_words, level)):
+                for digest, a, b in keyed(t, min_words, level):
                     if digest:
-                        for column, v in zip((key, ids, texts, unit, start, end), (digest, i, own, k, a, b), strict=True):
+                        for column, v in zip((key, ids, texts, start, end), (digest, i, own, a, b), strict=True):
                             column.append(v)
                 if len(key) > 50_000:
                     yield from batches(rows())
-                    key, ids, texts, unit, start, end = [], [], [], [], [], []
+                    key, ids, texts, start, end = [], [], [], [], []
             if key:
                 yield from batches(rows())
 
@@ -85,15 +104,30 @@ def _emitted(min_words: int, level: str):
 
 
 def duplicate_spans(docs: DataFrame, min_words: int = 8, level: str = "sentence") -> DataFrame:
-    """Every removed occurrence: doc_id, text_key, start, end, first_doc (id of the occurrence that stays)."""
+    """Every repeated occurrence: doc_id, text_key, start, end, first_doc (id of the occurrence that stays)."""
     found = docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_emitted(min_words, level), UNIT)
     first = found.groupBy("key").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").select("key", "first")
     again = found.join(written(first, "repeated-units"), "key").where("rank > first")
     return again.select(
-        F.when(F.col("rank.id") < LAST, F.col("rank.id")).alias("doc_id"), F.col("rank.text_key").alias("text_key"), "start", "end", F.when(F.col("first.id") < LAST, F.col("first.id")).alias("first_doc")
+        F.when(F.col("rank.id") < LAST, F.col("rank.id")).alias("doc_id"), F.col("rank.text_key").alias("text_key"), "start", F.col("rank.end").alias("end"), F.when(F.col("first.id") < LAST, F.col("first.id")).alias("first_doc")
     )
 
 
+def _disjoint(text: str, spans: list[dict]) -> list[dict]:
+    """What each of the ordered spans adds to those before it."""
+    out, at = [], 0
+    for s in spans:
+        a, b = s["start"], s["end"]
+        if a < at:
+            a = at
+            while a < b and text[a].isspace():
+                a += 1
+        if a < b:
+            out.append(s | {"start": a})
+            at = b
+    return out
+
+
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without the spans and without the white space that followed each."""
     kept, at = [], 0
@@ -127,11 +161,14 @@ def dedup(docs: DataFrame, min_words: int = 8, level: str = "sentence") -> DataF
     def cut(parts):
         at = names.index("text")
         for batch in parts:
-            texts = batch.column("text").to_pylist()
-            for i, spans_of in enumerate(batch.column("__removed")):
-                if (s := spans_of.as_py()) and texts[i] is not None:
-                    texts[i] = _cut(texts[i], [(x["start"], x["end"]) for x in s])
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            texts, removed = batch.column("text").to_pylist(), batch.column("__removed").to_pylist()
+            for i, spans_of in enumerate(removed):
+                if spans_of and texts[i] is not None:
+                    removed[i] = _disjoint(texts[i], spans_of)
+                    texts[i] = _cut(texts[i], [(x["start"], x["end"]) for x in removed[i]])
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            last = batch.num_columns - 1
+            yield batch.set_column(last, "__removed", pa.array(removed, REMOVED))
 
     done = both.select(*names, "__removed").mapInArrow(cut, out)
     removed = F.coalesce(F.col("__removed"), F.array().cast(out["__removed"].dataType))

@@ -120,6 +120,18 @@ def test_line_dedup(spark):
     assert [r.n_removed for r in twice] == [2, 0]
 
 
+def test_line_dedup_of_short_units(spark):
+    verse = "\n".join(f"word{i} x{i}" if i % 3 else f"w{i}" for i in range(36))  # 60 words in lines of one and two
+    texts = [f"Head of one.\n{verse}\ntail", f"Other start\n{verse}\nend here", verse, "! ".join(f"shout{i}" for i in range(20)), "! ".join(f"shout{i}" for i in range(20)), "a\n" * 20, "one\ntwo\nthree", "one\ntwo\nthree"]
+    got = {r.doc_id: r for r in line_dedup.dedup(frame(spark, texts)).collect()}
+    assert [got[i].text for i in range(8)] == [texts[0], "Other start\nend here", "", texts[3], "", "a\n" * 8, *texts[6:]]
+    for i, r in got.items():
+        assert r.removed_chars == sum(s.end - s.start for s in r.removed) and all(a.end < b.start for a, b in itertools.pairwise(r.removed)) and r.n_removed == len(r.removed)
+    assert {s.first_doc for i in (1, 2) for s in got[i].removed} == {0}
+    lines = {r.doc_id: r.text for r in line_dedup.dedup(frame(spark, ["x\n\n".join(map(str, range(20)))] * 2), level="line").collect()}
+    assert lines[1] == ""
+
+
 def brute_rules(t):
     w = WORD.findall(t or "")
     c = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
