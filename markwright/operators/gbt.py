@@ -8,6 +8,7 @@ missing value goes where the gain is larger.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -177,8 +178,7 @@ class Booster:
         out[:, :, -1] = self.base
         for group in self.trees:
             for c, t in enumerate(group):
-                for i in range(len(x)):
-                    out[i, c] += tree_shap(t, x[i])
+                out[:, c] += tree_shaps(t, x)
         return out
 
 
@@ -214,6 +214,40 @@ def tree_shap(t: Tree, x: np.ndarray) -> np.ndarray:
     return phi
 
 
+def tree_shaps(t: Tree, x: np.ndarray) -> np.ndarray:
+    """``tree_shap`` of every row; at each leaf rows that pass the same tests share one computation."""
+    phi = np.zeros((len(x), x.shape[1] + 1))
+
+    def leaf(path: dict[int, tuple[float, np.ndarray]], value: float) -> None:
+        names, m = list(path), len(path)
+        zero = np.array([path[f][0] for f in names])
+        phi[:, -1] += value * zero.prod()
+        if not m:
+            return
+        passed, of = np.unique(sum(path[f][1].astype(np.int64) << i for i, f in enumerate(names)), return_inverse=True)
+        one = (passed[:, None] >> np.arange(m) & 1).astype(float)
+        weight = np.array([1.0 / (m * _choose(m - 1, s)) for s in range(m)])
+        for i, f in enumerate(names):
+            poly = np.ones((len(passed), 1))
+            for j in range(m):
+                if j != i:
+                    poly = np.pad(poly * zero[j], ((0, 0), (0, 1))) + np.pad(poly * one[:, j : j + 1], ((0, 0), (1, 0)))
+            phi[:, f] += (value * (one[:, i] - zero[i]) * (poly @ weight))[of]
+
+    def walk(node: int, path: dict[int, tuple[float, np.ndarray]]) -> None:
+        f = t.feature[node]
+        if f < 0:
+            leaf(path, t.value[node])
+            return
+        left = t.goes_left(node, x).astype(bool)
+        for child, passes in ((t.left[node], left), (t.right[node], ~left)):
+            z, o = path.get(f, (1.0, True))
+            walk(child, path | {f: (z * t.cover[child] / t.cover[node], passes & o)})
+
+    walk(0, {})
+    return phi
+
+
 def _choose(n: int, k: int) -> float:
     out = 1.0
     for i in range(k):
@@ -309,23 +343,34 @@ def search(cells: DataFrame, features: list[str], kind: str, options: list[dict]
     return per.groupBy("trial").agg(F.sum("n").alias("n"), (F.sum("sse") / F.sum("n")).alias("mse"))
 
 
-def explain(matrix: DataFrame, features: list[str], kind: str, params: dict, target: str = "score", n_rows: int = 200, seed: int = 42) -> DataFrame:
-    """Contributions of a head fitted per dataset on its scored rows: dataset, row_id, feature, value, shap, split_count."""
-    rows = matrix.withColumn("y", F.col(target).cast("double")).where("y is not null")
+def explain(matrix: DataFrame, features: list[str], kind: str, params: dict, target: str = "score", seed: int = 42, block: int = 4096) -> DataFrame:
+    """Contributions of a head fitted per dataset, for each of its scored rows: dataset, row_id, feature, value, shap, split_count.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    A fitted head goes to blocks of about ``block`` rows, which are explained in parallel.
+    """
+    rows = matrix.withColumn("y", F.col(target).cast("double")).where("y is not null").select("dataset", "row_id", *features, "y")
+    blocks = F.broadcast(rows.groupBy("dataset").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))  # one row a dataset
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_id")
-        x = pdf[features].to_numpy(float)
-        head = Head(kind, params, seed).fit(x, pdf.y.to_numpy(float))
-        if head.constant:
+        head = Head(kind, params, seed).fit(pdf[features].to_numpy(float), pdf.y.to_numpy(float))
+        own = [] if head.constant else [(str(pdf.dataset.iloc[0]), pickle.dumps(head))]
+        return pd.DataFrame({c: np.array([r[i] for r in own], object) for i, c in enumerate(("dataset", "head"))})
+
+    def one(pdf: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or heads.empty:
             return pd.DataFrame({c: np.array([], object if c in ("dataset", "feature") else float) for c in ("dataset", "row_id", "feature", "value", "shap", "split_count")})
-        pick = np.unique(np.rint(np.linspace(0, len(x) - 1, min(n_rows, len(x)))).astype(int))
-        c = head.model.contributions(x[pick])
+        head = pickle.loads(heads["head"].iloc[0])
+        pdf = pdf.sort_values("row_id")
+        x = pdf[features].to_numpy(float)
+        c = head.model.contributions(x)
         shap = np.abs(c[:, :, :-1]).mean(1) if kind == "classification" else c[:, 0, :-1]
         count = head.model.importance(len(features))
-        ids = pdf.row_id.to_numpy()[pick]
-        m = len(features)
-        name = np.full(len(pick) * m, str(pdf.dataset.iloc[0]), object)
-        return pd.DataFrame({"dataset": name, "row_id": np.repeat(ids, m), "feature": np.array(list(features) * len(pick), object), "value": x[pick].ravel(), "shap": shap.ravel(), "split_count": np.tile(count, len(pick))})
-
-    return rows.groupBy("dataset").applyInPandas(one, "dataset string, row_id long, feature string, value double, shap double, split_count double")
+        n, m = x.shape
+        name = np.full(n * m, str(pdf.dataset.iloc[0]), object)
+        return pd.DataFrame({"dataset": name, "row_id": np.repeat(pdf.row_id.to_numpy(), m), "feature": np.array(list(features) * n, object), "value": x.ravel(), "shap": shap.ravel(), "split_count": np.tile(count, n)})
+
+    heads = rows.groupBy("dataset").applyInPandas(fitted, "dataset string, head binary").join(blocks, "dataset").select("dataset", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "head")
+    dealt = rows.join(blocks, "dataset").withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int")).drop("blocks")
+    both = dealt.groupBy("dataset", "block").cogroup(heads.groupBy("dataset", "block"))
+    return both.applyInPandas(one, "dataset string, row_id long, feature string, value double, shap double, split_count double")

@@ -316,7 +316,7 @@ def gbt_search(spark, sf):
 
 
 def _explained(spark, sf):
-    return gbt.explain(_matrix(spark, sf), _COLS, "regression", _HEAD, n_rows=20)
+    return gbt.explain(_matrix(spark, sf), _COLS, "regression", _HEAD)
 
 
 @query()

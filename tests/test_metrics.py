@@ -118,3 +118,21 @@ def test_schema_and_config(spark):
     assert Config.load({"tau": 0.4}).tau == 0.4 and TASKS["asap_sas"].per_prompt
     with pytest.raises(ValueError):
         Config.load({"nope": 1})
+
+
+def test_every_scored_row_is_explained(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 2))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    y = np.nan_to_num(x[:, 0]) + 2 * (np.nan_to_num(x[:, 1]) > 0)
+    rows = [("d" if i % 5 else "e", i, *map(float, x[i]), float(y[i]) if i % 10 != 9 else None) for i in range(500)]
+    frame = spark.createDataFrame(rows, "dataset string, row_id long, f0 double, f1 double, score double")
+    params = {"n_estimators": 3, "num_leaves": 5, "min_child_samples": 5}
+    got = gbt.explain(frame, ["f0", "f1"], "regression", params, block=64).toPandas()
+    for name in ("d", "e"):
+        own = [r for r in rows if r[0] == name and r[4] is not None]
+        v = np.array([r[2:4] for r in own])
+        model = gbt.Booster(**params, seed=42).fit(v, np.array([r[4] for r in own]))
+        want = np.array([sum(gbt.tree_shap(t, one) for group in model.trees for t in group) for one in v])
+        mine = got[got.dataset == name].pivot(index="row_id", columns="feature", values="shap").sort_index()
+        assert mine.index.tolist() == [r[1] for r in own] and np.allclose(mine.to_numpy(), want[:, :2])
