@@ -4,8 +4,8 @@ Dated list entries (pattern, category, day, action ``add`` or ``remove``) become
 validity intervals [valid_from, valid_to): each event holds until the next one
 of its pattern and category. A pattern is a host, a domain (it covers its sub-hosts) or a
 host with a path prefix. A capture has one key for each domain suffix of its
-host and each leading part of its path; the as-of join takes the intervals
-of those keys that hold on the fetch day, and the most specific pattern decides
+host and each leading part of its path, as deep as the deepest pattern of the
+list; the as-of join takes the intervals of those keys that hold on the fetch day, and the most specific pattern decides
 (then the category that sorts first).
 
 Events are pre-aggregated to one per (pattern, category, day) - a remove
@@ -21,8 +21,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEPTH = 3  # leading path parts that are keys
-
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
@@ -39,13 +37,13 @@ def intervals(entries: DataFrame) -> DataFrame:
     return daily.withColumn("valid_to", F.lead("day").over(own)).where("removed = 0").select("pattern", "category", F.col("day").alias("valid_from"), "valid_to")
 
 
-def keys(host: Column, path: Column) -> Column:
-    """Domain suffixes of two labels or more, and the host with each of its first path parts."""
+def keys(host: Column, path: Column, depth: Column) -> Column:
+    """Domain suffixes of two labels or more, and the host with each of the first ``depth`` parts of its path."""
     labels = F.split(host, r"\.")
     parts = F.array_remove(F.split(path, "/"), "")
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.when(
-        F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(DEPTH))), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
+        (F.size(parts) > 0) & (depth > 0), F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.size(parts), depth), F.lit(1))), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
     ).otherwise(F.array().cast("array<string>"))
     return F.when(host != "", F.array_distinct(F.concat(suffixes, prefixes))).otherwise(F.array().cast("array<string>"))
 
@@ -55,7 +53,8 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     base = captures.select(F.col("page_id").cast("long").alias("page_id"), "url", "fetch_day").withColumn("host", host_of(F.col("url")))
     # Rows that agree in all columns are evaluated once and counted back out.
     base = base.groupBy("page_id", "url", "fetch_day", "host").agg(F.count("*").alias("__copies"))
-    keyed = base.select("page_id", "url", "fetch_day", F.explode(keys(F.col("host"), path_of(F.col("url")))).alias("pattern"))
+    deepest = entries.agg(F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0)).alias("__depth"))
+    keyed = base.crossJoin(F.broadcast(deepest)).select("page_id", "url", "fetch_day", F.explode(keys(F.col("host"), path_of(F.col("url")), F.col("__depth"))).alias("pattern"))
     found = keyed.join(intervals(entries), "pattern").where((F.col("fetch_day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetch_day") < F.col("valid_to"))))
     best = found.groupBy("page_id", "url", "fetch_day").agg(F.count("*").alias("n_matches"), F.min(F.struct(-F.length("pattern"), "pattern", "category", "valid_from")).alias("best"))
     best = best.select(F.col("page_id").alias("p"), F.col("url").alias("u"), F.col("fetch_day").alias("f"), "n_matches", "best")

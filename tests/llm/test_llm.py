@@ -256,6 +256,17 @@ def test_url_filter(spark):
     )
 
 
+def test_url_filter_deep_paths(spark):
+    deep = "a.com/1/2/3/4/5"
+    entries = spark.createDataFrame([(deep, "x", 1, "add"), ("a.com/1/2/3/4", "y", 1, "add"), ("b.org/" + "p/" * 39 + "p", "z", 1, "add")], "pattern string, category string, day int, action string")
+    rows = [(1, f"http://{deep}/6/7", 5), (2, f"http://{deep}", 5), (3, "http://a.com/1/2/3/4/6", 5), (4, "http://a.com/1/2/3", 5), (5, "http://b.org/" + "p/" * 50, 5), (6, "http://a.com", 5)]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetch_day int")
+    got = {r.page_id: (r.category, r.n_matches) for r in url_filter.evaluate(captures, entries).collect()}
+    assert got == {1: ("x", 2), 2: ("x", 2), 3: ("y", 1), 4: (None, 0), 5: ("z", 1), 6: (None, 0)}
+    assert url_filter.evaluate(captures, entries.limit(0)).where("blocked").count() == 0
+    assert url_filter.evaluate(captures, entries.limit(0).unionByName(spark.createDataFrame([("a.com", "h", 1, "add")], entries.schema))).where("blocked").count() == 5
+
+
 def test_decontaminate_matches_brute_force(spark):
     rng = random.Random(7)
     items = [" ".join(f"i{k}_{j}" for j in range(rng.randrange(12, 40))) for k in range(6)] + ["very short", None, ""]
