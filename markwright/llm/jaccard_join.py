@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, blocks, longs, utf8, written
@@ -423,10 +423,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     cross_groups = cross_groups.select("token", F.explode(F.array("a", "b")).alias("gkey")).join(classes.select("gkey", "cid", "n"), "gkey")
     bucketed = written(labelled(bucketed.union(cross_groups.select("token", F.lit(2).alias("of"), "cid", "n")).distinct(), "cid"), "buckets")
     mixed = bucketed.groupBy("token", "of").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("cid")).alias("who")
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), *_members()
     )
     # Buckets of the same members give the same pairs: one of them is enough.
-    mixed = mixed.where("lo < hi").groupBy("m", "who", "lo", "hi").agg(F.min(F.struct("token", "of")).alias("one")).select("one.token", "one.of", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
+    mixed = mixed.where("lo < hi").groupBy("m", "who", "who_sum", "lo", "hi").agg(F.min(F.struct("token", "of")).alias("one")).select("one.token", "one.of", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
     open_rows = bucketed.join(mixed, ["token", "of"]).join(sketch.select(F.col("doc_id").alias("cid"), F.col("n"), "bits"), ["cid", "n"])
     own = F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int")
     # A pair comes out of its first common bucket only; ids with several texts, whose buckets differ by text, out of each.
@@ -449,6 +449,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     return out
 
 
+def _members() -> list[Column]:
+    """Aggregates that tell sets of (cid, n) apart; a cid may be there with several n."""
+    return [F.bit_xor(F.xxhash64("cid", "n")).alias("who"), F.sum(F.hash("cid", "n").cast("long")).alias("who_sum")]
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` but those whose doc_id is in ``ids``; texts are shuffled only if the ids are too many to broadcast."""
     ids = written(ids.where("doc_id is not null").distinct(), "dropped")

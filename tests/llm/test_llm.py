@@ -69,6 +69,12 @@ def test_jaccard_components_match_brute_force(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == linked(texts)
 
 
+def test_buckets_of_repeated_ids_are_told_apart(spark):
+    rows = [("p", 1, 5), ("p", 1, 6), ("p", 9, 5), ("q", 2, 5), ("q", 2, 6), ("q", 9, 5), ("r", 9, 5), ("r", 1, 6), ("r", 1, 5)]
+    got = {r.token: (r.who, r.who_sum) for r in spark.createDataFrame(rows, "token string, cid long, n int").groupBy("token").agg(*jaccard_join._members()).collect()}
+    assert got["p"] == got["r"] and got["p"][0] != got["q"][0] and got["p"][1] != got["q"][1]
+
+
 def test_jaccard_edges(spark):
     assert jaccard_join.jaccard_components(frame(spark, [])).count() == 0
     rows = frame(spark, ["a b c d e f", "a b c d e f", "x y z", "a b c d e f"], [4, None, 9, 4]).withColumnRenamed("source", "component_id")
