@@ -30,6 +30,7 @@ from .common import filesystem, shared_path
 MAGIC = b"MWTOK001"
 SAMPLE = 256  # every so many set bits a select position is stored
 WORDS = 800_000  # cached words a worker keeps
+_DOUBTFUL = "\u180e\u200b\ufeff"  # white space in some versions of Unicode
 _state: dict = {}
 
 
@@ -94,18 +95,26 @@ class Encoder:
     """The library's encoder behind a cache of words.
 
     Byte-level pre-tokenisation keeps a single blank with the word after it and
-    never joins text across it, so words are encoded once. New ones go to the
-    library many to a call, each behind a blank: exactly the tokens that start
-    with a blank then start a word. Texts with doubled blanks go to the library whole.
+    never joins text across it, if neither neighbour of the blank is white space; so
+    such words are encoded once. New ones go to the library many to a call, each
+    behind a blank: exactly the tokens that start with a blank then start a word.
+    A text goes to the library whole where a blank has other white space beside it
+    (or stands at an end), where it holds an added token's text, and with any
+    tokenizer of another form (a normalizer, a pre-tokeniser but the plain byte-level one).
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        pre = form.get("pre_tokenizer") or {}
+        plain = form.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.added = [x["content"] for x in form.get("added_tokens") or []]
+        self.by_words = plain and len(self.added) <= 16
         vocabulary = self.tok.get_vocab()
-        self.small = len(vocabulary) <= 65536
+        self.small = max(vocabulary.values()) < 65536
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
         self.starts[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # the blank's byte
         self.words: dict[str, bytes] = {}
@@ -125,15 +134,35 @@ class Encoder:
             else:
                 self.words.update(zip(part, self.library([f" {w}" for w in part]), strict=True))
 
+    def _split(self, text: str) -> list[str] | None:
+        """Parts between blanks, unless the text must go whole for its first part or an added token."""
+        parts = text.split(" ")
+        return parts if _is_word(parts[0]) and not any(x in text for x in self.added) else None
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        split = [None if "  " in t or t[:1] == " " or t[-1:] == " " else t.split(" ") for t in texts]
+        if not self.by_words:
+            return self.library(texts)
+        split = [self._split(t) for t in texts]
         cache = self.words
         if len(cache) > WORDS:
             cache.clear()
-        self._learn(list({w for parts in split if parts for w in parts[1:] if w not in cache}))
+        seen = {w for parts in split if parts for w in parts[1:] if w not in cache}
+        self._learn([w for w in seen if _is_word(w)])  # a part that isn't a word stays out of the cache
+        tails = []
+        for i, parts in enumerate(split):
+            try:
+                tails.append(b"" if parts is None else b"".join(map(cache.__getitem__, parts[1:])))
+            except KeyError:
+                split[i] = None
+                tails.append(b"")
         heads = self.library([t if parts is None else parts[0] for t, parts in zip(texts, split, strict=True)])
-        return [h if parts is None else h + b"".join(map(cache.__getitem__, parts[1:])) for h, parts in zip(heads, split, strict=True)]
+        return [h + x for h, x in zip(heads, tails, strict=True)]
+
+
+def _is_word(part: str) -> bool:
+    """Has a part between blanks no white space at its ends? (In doubt, as for format characters, it has.)"""
+    return part != "" and not (part[0].isspace() or part[-1].isspace() or part[0] in _DOUBTFUL or part[-1] in _DOUBTFUL)
 
 
 def _encoder(path: str) -> Encoder:
