@@ -6,18 +6,19 @@ counts of counts; probabilities interpolate down to a uniform base. Tables stay
 sharded by n-gram: tasks sum their n-grams first, and every step is a
 join or aggregation on the n-gram.
 
-Scoring joins counts with documents without moving texts: each scan task
-(block) asks once for its distinct n-grams, the requests join the sharded
-tables order by order, and the answers return to the block as one sorted
-array in the shared folder. Perplexity is exp of the mean negative log
+Scoring joins counts with documents without moving texts: each block (at most
+about ``CHUNK`` bytes of a scan task's texts, or one longer text) asks once for its distinct n-grams, the
+requests join the sharded tables order by order, and the answers return to the
+block as one sorted array in the shared folder. Perplexity is exp of the mean negative log
 probability per character; a document is kept when it is at most the
 ``quantile`` of its language's trusted documents that the model wasn't trained
 on (every fourth by the checksum of its id), as a model fits its own
 training texts too well to set limits by them.
 
 ``docs`` is a scan of stored files, so both passes see the same blocks; a block
-that misses an answer raises. Null and blank texts have no characters: perplexity
-null and rejected. A null lang is a language of its own; a language without
+that misses an answer raises. White space, NUL and STX (which pads the texts) count
+as blanks, and those at a text's ends don't count. Null and blank texts have no
+characters: perplexity null and rejected. A null lang is a language of its own; a language without
 such documents takes the quantile of all languages; without any, all
 scored documents are kept; without trusted text, all perplexities are null and all documents are kept. A null doc_id
 is scored and never trusted; repeated ids give a row each. Extra columns are
@@ -26,81 +27,133 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, filesystem, shared_path, written
-from .language_id import _runs
+from .common import blocks as runs_of
+from .common import filesystem, shared_path, utf8, written
 from .textops import mix
 
 ORDER = 5
-HELD = 3_000_000
+HELD = 3_000_000  # distinct n-grams a training task holds before it emits them
+CHUNK = 1 << 26  # bytes of text that ask for their n-grams together
 BROADCAST_IDS = 2_000_000
 START = "\x02"
-_WHITE = {i: " " for i in [*range(9, 14)]}
+_BLANKS = " \t\n\v\f\r\x00" + START
 
 
-def _windows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, str]:
-    """(start of the n-gram that ends in each character, characters per text, padded string)."""
-    own = [(t or "").translate(_WHITE).strip(" ") for t in texts]
+def _windows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start of the n-gram that ends in each character, characters per text, code points of the padded texts)."""
+    own = [(t or "").strip(_BLANKS) for t in texts]
     pad = START * (ORDER - 1)
+    code = pad.join(["", *own])
+    if "\x00" in code or code.count(START) > len(pad) * len(own):
+        own = [t.replace("\x00", " ").replace(START, " ") for t in own]
+        code = pad.join(["", *own])
     size = np.array([len(t) for t in own], np.int64)
-    code = "".join([pad + t for t in own])
     first = np.cumsum(size + ORDER - 1) - size - (ORDER - 1)
     at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    return at, size, code
-
-
-def _keys(code: str, at: np.ndarray) -> np.ndarray:
-    c = np.frombuffer(code.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    key = np.zeros(len(at), np.uint64)
-    for k in range(ORDER):
-        key = key * np.uint64(0x2545F4914F6CDD1D) + c[at + k]
-    return mix(key)
-
+    c = np.frombuffer(code.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return at, size, np.where((c >= 9) & (c <= 13), np.uint32(32), c)
+
+
+def _keys(code: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams that start at ``at``."""
+    c = code.astype(np.uint64)
+    n = len(c) - ORDER + 1
+    key = c[:n].copy()
+    for k in range(1, ORDER):
+        key *= np.uint64(0x2545F4914F6CDD1D)
+        key += c[k : k + n]
+    return mix(key[at])
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values in order of appearance, place of each value among them), by hashing."""
+    found = pa.array(key.view(np.int64)).dictionary_encode()
+    return found.dictionary.to_numpy().view(np.uint64), found.indices.to_numpy()
+
+
+class Distinct:
+    """Distinct n-grams of the texts added so far: hash, characters, number."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.names, self.cnt = np.zeros(0, np.uint64), np.zeros(0, f"<U{ORDER}"), np.zeros(0, np.int64)  # sorted by key
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_new = 0
+
+    def __len__(self) -> int:
+        return len(self.key) + self.n_new
+
+    def add(self, code: np.ndarray, at: np.ndarray) -> None:
+        key, place = _distinct(_keys(code, at))
+        cnt = np.bincount(place)
+        where = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+        known = self.key[where] == key if len(self.key) else np.zeros(len(key), bool)
+        self.cnt[where[known]] += cnt[known]
+        first = at[np.flatnonzero(np.diff(np.maximum.accumulate(place), prepend=-1))][~known]
+        names = np.ascontiguousarray(code[first[:, None] + np.arange(ORDER)]).view(f"<U{ORDER}").ravel()
+        self.new.append((key[~known], names, cnt[~known]))
+        self.n_new += len(first)
+        if self.n_new > 300_000:
+            self.merge()
+
+    def merge(self) -> None:
+        if self.n_new:
+            key, names, cnt = (np.concatenate(x) for x in zip(*self.new, strict=True))
+            own, first, place = np.unique(key, return_index=True, return_inverse=True)
+            key, names, cnt = np.concatenate([self.key, own]), np.concatenate([self.names, names[first]]), np.concatenate([self.cnt, np.bincount(place, cnt).astype(np.int64)])
+            order = np.argsort(key, kind="stable")
+            self.key, self.names, self.cnt = key[order], names[order], cnt[order]
+        self.new, self.n_new = [], 0
+
+    def tables(self, block: int) -> Iterator[pa.RecordBatch]:
+        """The n-grams in batches; none are held afterwards."""
+        self.merge()
+        for i in range(0, len(self.key), 20_000):
+            key, names, cnt = (x[i : i + 20_000] for x in (self.key, self.names, self.cnt))
+            yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(key), block, np.int64)), "key": pa.array(key.view(np.int64)), "gram": pa.array(names, pa.string()), "cnt": pa.array(cnt)})
+        self.clear()
+
+
+def _pieces(parts) -> Iterator[tuple[pa.RecordBatch, int, int, int, list[str | None]]]:
+    """(batch, i, j, block, texts i to j) of a task's rows in turn: a new block after every ``CHUNK`` bytes, the same in each pass over the same rows."""
+    from pyspark import TaskContext
+
+    base, seen = TaskContext.get().partitionId() << 24, 0
+    for batch in parts:
+        column = batch.column("text")
+        _, off = utf8(column)
+        for i, j in runs_of(off):
+            yield batch, i, j, base + seen // CHUNK, column.slice(i, j - i).to_pylist()
+            seen += int(off[j] - off[i])
 
 
 def _grams(counted: bool):
-    """Distinct n-grams of a task's texts: their hash, their characters and, for training, their number."""
+    """Distinct n-grams, their hash, their characters and number: of a task's texts for training, else of each block of them."""
 
     def run(parts):
-        from pyspark import TaskContext
-
-        block = TaskContext.get().partitionId()
-        known: dict[int, int] = {}
-        names: dict[int, str] = {}
-
-        def flush():
-            n = len(known)
-            key = np.fromiter(known.keys(), np.uint64, n)
-            table = {"block": pa.array(np.full(n, block, np.int32)), "key": key.view(np.int64), "gram": pa.array([names[k] for k in known], pa.string()), "cnt": pa.array(list(known.values()), pa.int64())}
-            yield from batches(pa.table(table))
-
-        for batch in parts:
-            texts = batch.column("text").to_pylist()
-            for i, j in _runs(texts):
-                at, _, code = _windows(texts[i:j])
-                if not len(at):
-                    continue
-                key, where, cnt = np.unique(_keys(code, at), return_index=True, return_counts=True)
-                for k, w, c in zip(key.tolist(), at[where].tolist(), cnt.tolist(), strict=True):
-                    if k in known:
-                        known[k] += c
-                    else:
-                        known[k] = c
-                        names[k] = code[w : w + ORDER]
-            if counted and len(known) > HELD:
-                yield from flush()
-                known.clear()
-                names.clear()
-        yield from flush()
+        held, block = Distinct(), 0
+        for _, _, _, now, texts in _pieces(parts):
+            if now != block and not counted or len(held) > HELD and counted:
+                yield from held.tables(block)
+            block = now
+            at, _, code = _windows(texts)
+            if len(at):
+                held.add(code, at)
+        yield from held.tables(block)
 
     return run
 
 
-GRAMS = "block int, key long, gram string, cnt long"
+GRAMS = "block long, key long, gram string, cnt long"
 
 
 class Model:
@@ -172,7 +225,7 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
     known = each.join(resolve(model, each.select("gram")), "gram").select("key", F.ln("p").alias("logp"))
     answers = asked.select("block", "key").join(known, "key").select("block", "key", "logp")
     folder = shared_path(spark, "kn-answers")
-    packed = answers.groupBy("block").applyInArrow(_packed, "block int, data binary")
+    packed = answers.groupBy("block").applyInArrow(_packed, "block long, data binary")
 
     def store(parts):
         fs, base = filesystem(folder)
@@ -183,37 +236,31 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
                 with fs.open_output_stream(temp, compression=None) as f:
                     f.write(data.as_buffer())
                 fs.move(temp, f"{base}/{block}")  # a retried task replaces the file by an equal one
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32())], ["block"])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64())], ["block"])
 
-    packed.mapInArrow(store, "block int").agg(F.count("*")).collect()
+    packed.mapInArrow(store, "block long").agg(F.count("*")).collect()
 
     def score(parts):
-        from pyspark import TaskContext
-
         fs, base = filesystem(folder)
-        key = logp = None
-        for batch in parts:
-            texts = batch.column("text").to_pylist()
-            n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for i, j in _runs(texts):
-                at, size, code = _windows(texts[i:j])
-                n[i:j] = size
-                if not len(at):
-                    continue
-                if key is None:
-                    with fs.open_input_file(f"{base}/{TaskContext.get().partitionId()}") as f:
+        block, key, logp = -1, None, None
+        for batch, i, j, now, texts in _pieces(parts):
+            at, size, code = _windows(texts)
+            total = np.zeros(len(texts))
+            if len(at):
+                if now != block:
+                    with fs.open_input_file(f"{base}/{now}") as f:
                         raw = f.read()
-                    key, logp = np.frombuffer(raw, np.uint64, len(raw) // 16), np.frombuffer(raw, np.float64, len(raw) // 16, len(raw) // 2)
-                want = _keys(code, at)
+                    block, key, logp = now, np.frombuffer(raw, np.uint64, len(raw) // 16), np.frombuffer(raw, np.float64, len(raw) // 16, len(raw) // 2)
+                want, each = _distinct(_keys(code, at))
                 place = np.minimum(np.searchsorted(key, want), len(key) - 1)
                 if not (key[place] == want).all():
                     raise RuntimeError("a block of the second pass differs from the first: documents must be a scan of stored files")
-                bound = np.concatenate([[0], np.cumsum(logp[place])])
+                bound = np.concatenate([[0], np.cumsum(logp[place][each])])
                 ends = np.cumsum(size)
-                total[i:j] = bound[ends] - bound[ends - size]
-            none = n == 0
+                total = bound[ends] - bound[ends - size]
+            rows = batch.slice(i, j - i)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), pa.array(n), pa.array(np.exp(-total / np.maximum(n, 1)), mask=none)], ["doc_id", "lang", "n_scored", "perplexity"]
+                [rows.column("doc_id"), rows.column("lang"), pa.array(size), pa.array(np.exp(-total / np.maximum(size, 1)), mask=size == 0)], ["doc_id", "lang", "n_scored", "perplexity"]
             )
 
     return docs.select("doc_id", "text", "lang").mapInArrow(score, "doc_id long, lang string, n_scored long, perplexity double")
