@@ -5,9 +5,10 @@
    inside the text). A window without a shared shingle has similarity 0, so
    only such anchored windows are fingerprinted.
 2. A window's 64-bit SimHash sums its words' hash bits. Items enter an index of
-   8 blocks of 8 bits, each also under its 8 values at distance 1: two
-   fingerprints within 15 bits have a block within 1 bit, so the block join
-   finds every item of that size within the radius.
+   4 blocks of 16 bits, each also under its 696 values at distance 1 to 3: of two
+   fingerprints within 15 bits one block differs in at most 3, so the block join
+   finds every item of that size within the radius, and a window meets one item
+   in 24 by chance.
 3. Exact similarity verifies: 5-word shingles weighted by how often they
    occur, sum of minima over sum of maxima, at least ``threshold``.
 
@@ -15,20 +16,24 @@ Texts are lower-cased; words are ``[^\\x20\\x09-\\x0D]+``; items shorter than
 five words count as one shingle. Null or blank texts have no words and match
 nothing; null ids are kept (a null doc_id or item_id is reported as such). Rows
 that repeat an id count as one document with several texts; the best match is
-reported. Equal matches: the smallest start. Extra columns are ignored.
+reported. Equal matches: the smallest start. Extra columns are ignored. Empty
+tables give no matches.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 SIZE = 5
-BLOCKS, WIDTH = 8, 8
-RADIUS = 2 * BLOCKS - 1  # guaranteed by blocks of distance 1
-BROADCAST_ROWS = 500_000  # a table is broadcast only while it has no more rows
+BLOCKS, WIDTH, PROBE = 4, 16, 3
+RADIUS = BLOCKS * (PROBE + 1) - 1  # guaranteed by blocks of distance PROBE
+MASKS = [sum(1 << i for i in bits) for k in range(PROBE + 1) for bits in itertools.combinations(range(WIDTH), k)]
+BROADCAST_BYTES = 32 << 20  # a table is broadcast only while it takes no more
 
 
 def words(text: Column) -> Column:
@@ -41,10 +46,15 @@ def shingles(name: str, size: int) -> Column:
     return F.expr(f"CASE WHEN size({name}) >= {size} THEN transform(sequence(0, size({name}) - {size}), i -> xxhash64({parts})) ELSE array() END")
 
 
+def sorted_shingles(name: str) -> Column:
+    """The shingles that array column ``name`` is compared by, sorted."""
+    short = F.when(F.size(name) > 0, F.array(F.xxhash64(name))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(name) < SIZE, short).otherwise(F.array_sort(shingles(name, SIZE)))
+
+
 def bag(name: str) -> Column:
-    """The shingles of array column ``name`` numbered by occurrence, so that set functions count weights."""
-    own = f"CASE WHEN size({name}) BETWEEN 1 AND {SIZE - 1} THEN array(xxhash64({name})) WHEN size({name}) = 0 THEN array() ELSE transform(sequence(0, size({name}) - {SIZE}), i -> xxhash64({', '.join(f'{name}[i + {j}]' for j in range(SIZE))})) END"
-    return F.expr(f"transform({own}, (x, k) -> struct(x AS h, size(filter(slice({own}, 1, k), y -> y = x)) AS n))")
+    """Sorted shingles (array column ``name``) numbered by occurrence, so that set functions count weights."""
+    return F.expr(f"transform({name}, (x, k) -> struct(x AS h, k - CAST(array_position({name}, x) AS INT) AS n))")
 
 
 def simhash(name: str) -> Column:
@@ -56,9 +66,10 @@ def simhash(name: str) -> Column:
     )
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if it has few rows; otherwise joins shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _few(df: DataFrame, row_bytes: Column | int = 64) -> DataFrame:
+    """``df``, marked for broadcast if its rows take few bytes in memory; otherwise joins shuffle."""
+    took = df.agg(F.coalesce(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes), F.lit(0))).first()[0]
+    return F.broadcast(df) if took <= BROADCAST_BYTES else df.hint("merge")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, radius: int = RADIUS) -> DataFrame:
@@ -66,7 +77,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, radi
     if radius > RADIUS:
         raise ValueError(f"blocks guarantee a radius of {RADIUS} bits")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w")).where("size(w) > 0")
-    items = written(items.select("item_id", "w", F.size("w").alias("m"), simhash("w").alias("item_fp"), bag("w").alias("item_bag")).distinct(), "items")
+    items = written(items.select("item_id", "w", F.size("w").alias("m"), simhash("w").alias("item_fp"), sorted_shingles("w").alias("item_sh")).distinct(), "items")
     least = [r["m"] for r in items.where(f"m < {SIZE}").select("m").distinct().collect()]  # at most four
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
 
@@ -81,20 +92,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, radi
 
     where = F.expr("doc_id <=> d and size(w) = n")
     windows = docs.join(_few(anchors.withColumnRenamed("doc_id", "d")), where).select("doc_id", "m", "start", F.slice("w", F.col("start") + 1, F.col("m")).alias("win"))
-    windows = windows.withColumn("fp", simhash("win"))
+    windows = windows.select("doc_id", "m", "start", simhash("win").alias("fp"), sorted_shingles("win").alias("win_sh"))
     windows = written(windows.repartition(F.col("doc_id"), F.col("start")), "windows")
 
     block = lambda fp: f"transform(sequence(0, {BLOCKS - 1}), b -> struct(b AS b, CAST(shiftrightunsigned({fp}, {WIDTH} * b) & {2**WIDTH - 1} AS INT) AS v))"
-    probes = f"flatten(transform({block('item_fp')}, x -> concat(array(x), transform(sequence(0, {WIDTH - 1}), i -> struct(x.b AS b, x.v ^ CAST(shiftleft(1, i) AS INT) AS v)))))"
-    index = items.select("m", "item_id", "item_fp", F.explode(F.expr(probes)).alias("k")).select("m", "item_id", "item_fp", "k.b", "k.v")
+    index = items.select("m", "item_id", "item_fp", F.explode(F.expr(block("item_fp"))).alias("k"))
+    masks = F.lit(MASKS).cast("array<int>")
+    index = index.select("m", "item_id", "item_fp", "k.b", F.explode(F.transform(masks, lambda x: x.bitwiseXOR(F.col("k.v")))).alias("v"))
     near = windows.select("doc_id", "m", "start", "fp", F.explode(F.expr(block("fp"))).alias("k")).select("doc_id", "m", "start", "fp", "k.b", "k.v")
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     near = near.join(_few(written(index, "block-index")), ["m", "b", "v"]).where(distance <= radius)
     near = near.select("doc_id", "m", "start", "fp", "item_id", "item_fp", distance.cast("int").alias("hamming")).distinct()
 
-    w = windows.select(F.col("doc_id").alias("d"), F.col("m").alias("m2"), F.col("start").alias("s2"), F.col("fp").alias("f2"), bag("win").alias("win_bag"))
+    w = windows.select(F.col("doc_id").alias("d"), F.col("m").alias("m2"), F.col("start").alias("s2"), F.col("fp").alias("f2"), "win_sh")
     full = near.join(w, F.expr("doc_id <=> d and m = m2 and start = s2 and fp = f2"))
-    full = full.join(_few(items.select(F.col("item_id").alias("i2"), F.col("m").alias("m3"), F.col("item_fp").alias("f3"), "item_bag")), F.expr("item_id <=> i2 and m = m3 and item_fp = f3"))
+    known = items.select(F.col("item_id").alias("i2"), F.col("m").alias("m3"), F.col("item_fp").alias("f3"), "item_sh")
+    full = full.join(_few(known, 64 + 8 * F.size("item_sh")), F.expr("item_id <=> i2 and m = m3 and item_fp = f3"))
+    full = full.withColumns({"win_bag": bag("win_sh"), "item_bag": bag("item_sh")})
     both = F.size(F.array_intersect("win_bag", "item_bag"))
     full = full.withColumn("similarity", both / (F.size("win_bag") + F.size("item_bag") - both)).where(F.col("similarity") >= threshold)
     best = full.groupBy("doc_id", "item_id").agg(F.min(F.struct(-F.col("similarity"), "start", F.col("m").alias("n_words"), "hamming", "similarity")).alias("best"))
@@ -102,6 +116,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, radi
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage."""
-    found = matches(docs, benchmark, **options).where("doc_id is not null").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(written(found, "hits"), F.col("doc_id") == F.col("__hit"), "left_anti")
+    """``docs`` without the documents that hold a benchmark passage; null ids stay, columns stay as they are."""
+    found = matches(docs, benchmark, **options).where("doc_id is not null").select("doc_id").distinct()
+    return docs.join(written(found, "hits"), "doc_id", "left_anti").select(*docs.columns)
