@@ -33,6 +33,7 @@ UNIT = "key binary, rank struct<id: long, text_key: binary, end: int>, start int
 _BREAK = {"sentence": re.compile(r"\s*\n\s*|(?<=[.!?])[ \t]+"), "line": re.compile(r"\n"), "paragraph": re.compile(r"\n\s*\n")}
 REMOVED = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first_doc", pa.int64())]))
 LAST = 2**63 - 1
+MIN_WORDS = 16  # shorter units count only together with those before them
 
 
 def units(text: str, level: str = "sentence") -> Iterator[tuple[int, int]]:
@@ -103,7 +104,7 @@ def _emitted(min_words: int, level: str):
     return run
 
 
-def duplicate_spans(docs: DataFrame, min_words: int = 8, level: str = "sentence") -> DataFrame:
+def duplicate_spans(docs: DataFrame, min_words: int = MIN_WORDS, level: str = "sentence") -> DataFrame:
     """Every repeated occurrence: doc_id, text_key, start, end, first_doc (id of the occurrence that stays)."""
     found = docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_emitted(min_words, level), UNIT)
     first = found.groupBy("key").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").select("key", "first")
@@ -140,28 +141,33 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(kept)
 
 
-def dedup(docs: DataFrame, min_words: int = 8, level: str = "sentence") -> DataFrame:
+RESULTS = ("n_removed", "removed_chars", "removed")
+
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, level: str = "sentence") -> DataFrame:
     """``docs`` with repeated units cut from ``text``, plus n_removed, removed_chars and the removed spans in the original."""
     spans = duplicate_spans(docs, min_words, level)
     spans = written(spans, "removed").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first_doc"))).alias("__removed"))  # of one text
-    names = docs.columns
-    base = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    own = [c for c in docs.columns if c not in RESULTS]
+    # Columns travel under positional names, which no input column can clash with.
+    names = [f"c{i}" for i in range(len(own))]
+    at = own.index("text")
+    base = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(own, names, strict=True)], F.col("doc_id").cast("long").alias("__id"))
 
     def with_key(parts):
         for batch in parts:
-            key = [None if (t := x.as_py()) is None else text_key(t) for x in batch.column("text")]
+            key = [None if (t := x.as_py()) is None else text_key(t) for x in batch.column(at)]
             yield batch.append_column("__key", pa.array(key, pa.binary()))
 
     from pyspark.sql.types import BinaryType, StructType
 
     keyed_docs = base.mapInArrow(with_key, StructType([*base.schema.fields]).add("__key", BinaryType()))
     both = keyed_docs.join(spans.toDF("__doc", "__text", "__removed"), F.expr("__id <=> __doc and __key = __text"), "left")
-    out = StructType([*docs.schema.fields]).add("__removed", spans.schema["__removed"].dataType)
+    out = StructType([*base.select(*names).schema.fields]).add("__removed", spans.schema["__removed"].dataType)
 
     def cut(parts):
-        at = names.index("text")
         for batch in parts:
-            texts, removed = batch.column("text").to_pylist(), batch.column("__removed").to_pylist()
+            texts, removed = batch.column(at).to_pylist(), batch.column("__removed").to_pylist()
             for i, spans_of in enumerate(removed):
                 if spans_of and texts[i] is not None:
                     removed[i] = _disjoint(texts[i], spans_of)
@@ -173,7 +179,7 @@ def dedup(docs: DataFrame, min_words: int = 8, level: str = "sentence") -> DataF
     done = both.select(*names, "__removed").mapInArrow(cut, out)
     removed = F.coalesce(F.col("__removed"), F.array().cast(out["__removed"].dataType))
     return done.select(
-        *names,
+        *[F.col(n).alias(c) for c, n in zip(own, names, strict=True)],
         F.size(removed).cast("long").alias("n_removed"),
         F.aggregate(removed, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("removed_chars"),
         removed.alias("removed"),
@@ -181,5 +187,6 @@ def dedup(docs: DataFrame, min_words: int = 8, level: str = "sentence") -> DataF
 
 
 def strip(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the same columns, repeated units cut."""
-    return dedup(docs, **options).select(*docs.columns)
+    """``docs`` with the same columns (of any name), repeated units cut."""
+    clash = {c: f"__own_{c}" for c in docs.columns if c in RESULTS}
+    return dedup(docs.withColumnsRenamed(clash), **options).drop(*RESULTS).withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)

@@ -69,10 +69,38 @@ def test_jaccard_components_match_brute_force(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == linked(texts)
 
 
-def test_buckets_of_repeated_ids_are_told_apart(spark):
-    rows = [("p", 1, 5), ("p", 1, 6), ("p", 9, 5), ("q", 2, 5), ("q", 2, 6), ("q", 9, 5), ("r", 9, 5), ("r", 1, 6), ("r", 1, 5)]
-    got = {r.token: (r.who, r.who_sum) for r in spark.createDataFrame(rows, "token string, cid long, n int").groupBy("token").agg(*jaccard_join._members()).collect()}
-    assert got["p"] == got["r"] and got["p"][0] != got["q"][0] and got["p"][1] != got["q"][1]
+def brute_components(rows):
+    """Components over (id, text) rows; rows of one id are one node."""
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    for (a, u), (b, v) in itertools.combinations(sets, 2):
+        both = len(u & v)
+        if both and 100 * both >= 75 * (len(u) + len(v) - both):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return sorted((i, len(u), find(i)) for i, u in sets)
+
+
+def test_jaccard_links_of_all_lengths_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(200)]
+    rows = []
+    for i in range(150):  # texts around shared passages whose overlap is near the threshold on both sides
+        k = rng.randrange(3, 120)
+        at = rng.choice((0, 0, 40))
+        w = passage[at : at + k] + [f"q{i}_{j}" for j in range(rng.randrange(0, max(1, k // 3)))]
+        rows.append((rng.randrange(120), " ".join(w)))
+    rows += [(500, "one two three four five six"), (500, rows[0][1]), (501, "one two three four five six"), (500, rows[3][1])]
+    got = jaccard_join.jaccard_components(frame(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    assert sorted(map(tuple, got)) == brute_components(rows)
 
 
 def test_jaccard_edges(spark):
@@ -116,25 +144,25 @@ def test_language_id(spark):
 def test_line_dedup(spark):
     long = "This passage of more than eight words repeats across several documents. And this one follows it each time."
     texts = [f"First intro here. {long}", f"Another start.\n{long}", "Short line.\nShort line.", None, "", long.upper(), "clean text that nobody else has written before today"]
-    got = {r.doc_id: r for r in line_dedup.dedup(frame(spark, texts)).collect()}
+    got = {r.doc_id: r for r in line_dedup.dedup(frame(spark, texts), min_words=8).collect()}
     assert got[0].text == texts[0] and got[6].n_removed == 0 and got[2].text == texts[2]
     assert got[1].text == "Another start.\n" and [texts[1][s.start : s.end] for s in got[1].removed] == long.split(". ", 1)[:0] + [long.split(". ")[0] + ".", long.split(". ")[1]]
     assert got[5].text == "" and got[3].text is None and got[4].text == "" and got[5].removed[0].first_doc == 0
     assert line_dedup.dedup(frame(spark, [])).count() == 0
     assert line_dedup.strip(frame(spark, texts)).columns == frame(spark, []).columns
-    twice = line_dedup.dedup(frame(spark, [long, long], [1, None])).orderBy("doc_id").collect()
+    twice = line_dedup.dedup(frame(spark, [long, long], [1, None]), min_words=8).orderBy("doc_id").collect()
     assert [r.n_removed for r in twice] == [2, 0]
 
 
 def test_line_dedup_of_short_units(spark):
     verse = "\n".join(f"word{i} x{i}" if i % 3 else f"w{i}" for i in range(36))  # 60 words in lines of one and two
     texts = [f"Head of one.\n{verse}\ntail", f"Other start\n{verse}\nend here", verse, "! ".join(f"shout{i}" for i in range(20)), "! ".join(f"shout{i}" for i in range(20)), "a\n" * 20, "one\ntwo\nthree", "one\ntwo\nthree"]
-    got = {r.doc_id: r for r in line_dedup.dedup(frame(spark, texts)).collect()}
+    got = {r.doc_id: r for r in line_dedup.dedup(frame(spark, texts), min_words=8).collect()}
     assert [got[i].text for i in range(8)] == [texts[0], "Other start\nend here", "", texts[3], "", "a\n" * 8, *texts[6:]]
     for i, r in got.items():
         assert r.removed_chars == sum(s.end - s.start for s in r.removed) and all(a.end < b.start for a, b in itertools.pairwise(r.removed)) and r.n_removed == len(r.removed)
     assert {s.first_doc for i in (1, 2) for s in got[i].removed} == {0}
-    lines = {r.doc_id: r.text for r in line_dedup.dedup(frame(spark, ["x\n\n".join(map(str, range(20)))] * 2), level="line").collect()}
+    lines = {r.doc_id: r.text for r in line_dedup.dedup(frame(spark, ["x\n\n".join(map(str, range(20)))] * 2), 8, "line").collect()}
     assert lines[1] == ""
 
 
@@ -349,7 +377,7 @@ def test_pipeline_matches_brute_force_on_small_tables(spark):
     seen, texts = set(), {}
     for i in ids:
         spans = []
-        for key, a, b in line_dedup.keyed(rows[i].text, 8, "sentence"):
+        for key, a, b in line_dedup.keyed(rows[i].text, line_dedup.MIN_WORDS, "sentence"):
             if key:
                 spans += [(a, b)] if key in seen else []
                 seen.add(key)
