@@ -10,7 +10,8 @@ list; the as-of join takes the intervals of those keys that hold on the fetch da
 
 Events are pre-aggregated to one per (pattern, category, day) - a remove
 wins over an add of the same day - so a pattern has at most one row a day. Hot
-hosts: the join splits by key and AQE splits a skewed side. Null or host-less
+hosts: the join splits by key and AQE splits a skewed side. User information
+and port of a url aren't part of its host. Null or host-less
 urls and null days match nothing and are kept unblocked. Repeated captures
 give a row each; null capture ids keep their rows; extra columns are ignored.
 An empty list blocks nothing.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)*([^/?#:@]*)", 1))
 
 
 def path_of(url: Column) -> Column:
@@ -103,7 +104,7 @@ def entries_of(pages: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH c AS (
   SELECT page_id, url, CAST(page_id % 360 AS INT) AS fetch_day,
-    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)*([^/?#:@]*)', 1)) AS host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
 seen AS (SELECT DISTINCT host, regexp_extract(path, '^/([^/]+)', 1) AS part FROM c WHERE host <> ''),
