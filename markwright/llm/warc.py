@@ -3,9 +3,10 @@
 Each write task sorts its captures by URL key, time and id and appends them to an archive
 of its own (one gzip member a record), so every archive is a locally
 sorted run. Its index entries go to range partitions of (URL key, time, id).
-A merge task holds one cursor per run over that run's contiguous slice and
-pulls records through a loser tree: one comparison per level for each record,
-one record per run in memory. Read in order, the partitions are the globally
+A merge task holds the index entries of its range and one cursor per run over
+that run's contiguous slice, and pulls records through a loser tree: one
+comparison per level for each record. Read-ahead of all runs together takes at
+most ``AHEAD`` bytes (or one record a run), and an archive is open during a read only. Read in order, the partitions are the globally
 ordered capture histories. Groups of more than ``fan_in`` runs are merged in
 nested trees.
 
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import filesystem, shared_path, written
 
+AHEAD = 64 << 20  # bytes that a merge task reads ahead in all of its runs
 ENTRY = "run int, path string, urlkey string, fetched string, page_id long, offset long, length long"
 CAPTURE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, urlkey string, fetched string, path string, offset long, length long"
 
@@ -168,18 +170,18 @@ def write(records: DataFrame, folder: str, level: int = 1) -> DataFrame:
     return keyed.mapInArrow(run, ENTRY)
 
 
-def _slice(path: str, entries: list[tuple], ahead: int = 1 << 18) -> Iterator[tuple]:
-    """(key, (entry, record)) of a run's entries in order, reading its archive ahead in pieces."""
+def _slice(path: str, entries: list[tuple], ahead: int) -> Iterator[tuple]:
+    """(key, (entry, path, record)) of a run's entries in order, reading its archive ahead in pieces; the file is open during a read only."""
     fs, name = filesystem(path)
-    with fs.open_input_file(name) as f:
-        lo, held = 0, b""
-        for entry in entries:
-            offset, length = entry[3], entry[4]
-            if not lo <= offset or offset + length > lo + len(held):
+    lo, held = 0, b""
+    for entry in entries:
+        offset, length = entry[3], entry[4]
+        if not lo <= offset or offset + length > lo + len(held):
+            with fs.open_input_file(name) as f:
                 f.seek(offset)
                 lo, held = offset, f.read(max(length, ahead))
-            raw = zlib.decompress(held[offset - lo : offset - lo + length], 31)
-            yield entry[:3], (entry, path, parse(raw))
+        raw = zlib.decompress(held[offset - lo : offset - lo + length], 31)
+        yield entry[:3], (entry, path, parse(raw))
 
 
 def histories(entries: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -192,7 +194,8 @@ def histories(entries: DataFrame, partitions: int | None = None) -> DataFrame:
         for batch in parts:
             for r in batch.to_pylist():
                 runs.setdefault(r["path"], []).append((r["urlkey"], r["fetched"], low if r["page_id"] is None else r["page_id"], r["offset"], r["length"]))
-        cursors = [_slice(path, sorted(runs[path], key=lambda e: e[3])) for path in sorted(runs)]
+        ahead = min(1 << 18, AHEAD // max(1, len(runs)))
+        cursors = [_slice(path, sorted(runs[path], key=lambda e: e[3]), ahead) for path in sorted(runs)]
         names = [x.split()[0] for x in CAPTURE.split(", ")]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
         rows: list[tuple] = []
