@@ -11,7 +11,7 @@ to the language that sorts first.
 
 The filter has a fixed size (``rows`` x ceil(languages / 64) words), which is
 all that is broadcast. Null texts and texts without a letter are ``und`` with
-score 0; training rows with a null or empty lang or a null text are skipped;
+score 0; training rows with a null lang or a null text are skipped (an empty lang is a language);
 without any training row every text is ``und``. Rows are independent: repeated
 ids, null ids and extra columns change nothing.
 """
@@ -128,7 +128,7 @@ def slots(grams: np.ndarray, rows: int, hashes: int) -> list[np.ndarray]:
 def train(docs: DataFrame, share: float = 0.25, least: float = 1e-6, rows: int = 1 << 20, hashes: int = 3) -> Filter:
     """Fit on ``docs`` (text, lang), all of them."""
     counts = written(
-        docs.where("lang is not null and lang <> '' and text is not null").select("lang", "text").mapInArrow(_counted, "lang string, gram long, cnt long").groupBy("lang", "gram").agg(F.sum("cnt").alias("cnt")),
+        docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(_counted, "lang string, gram long, cnt long").groupBy("lang", "gram").agg(F.sum("cnt").alias("cnt")),
         "trigrams",
     )
     totals = counts.groupBy("lang").agg(F.sum("cnt").alias("total"))
