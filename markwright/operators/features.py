@@ -21,37 +21,42 @@ def staged(df: DataFrame, columns: dict) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def views(df: DataFrame, window: int = 4, normalize: bool = True) -> DataFrame:
-    """Adds encoder texts (s_enc, r_enc) and token arrays (s_tok, r_tok, s_neg, r_neg)."""
+def views(df: DataFrame, window: int = 4, normalize: bool = True, negation: bool = True) -> DataFrame:
+    """Adds encoder texts (s_enc, r_enc) and token arrays (s_tok, r_tok and, if asked for, s_neg, r_neg)."""
     out = staged(df, {"s_enc": tx.encoder_view(F.col("student_answer"), normalize), "r_enc": tx.encoder_view(F.col("reference_answer"), normalize)})
-    return staged(
-        out, {"s_tok": tx.feature_tokens(F.col("s_enc")), "r_tok": tx.feature_tokens(F.col("r_enc")), "s_neg": tx.negation_tokens(F.col("s_enc"), window), "r_neg": tx.negation_tokens(F.col("r_enc"), window)},
-    )
+    tokens = {"s_tok": tx.feature_tokens(F.col("s_enc")), "r_tok": tx.feature_tokens(F.col("r_enc"))}
+    if negation:
+        tokens |= {"s_neg": tx.negation_tokens(F.col("s_enc"), window), "r_neg": tx.negation_tokens(F.col("r_enc"), window)}
+    return staged(out, tokens)
 
 
-def lexical(v: DataFrame) -> DataFrame:
-    """row_id and the 12 lexical columns of a frame of ``views``."""
+def lexical(v: DataFrame, columns: tuple[str, ...] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """row_id, the ``keep`` columns and the 12 lexical columns (or those named) of a frame of ``views``; sets that none of them needs aren't built."""
     c = F.col
-    sets = {n: F.array_distinct(x) for x, n in (("s_tok", "s"), ("r_tok", "r"), ("s_neg", "sn"), ("r_neg", "rn"))}
-    grams = {f"{a}{n}": tx.ngrams(c(x), n) for x, a in (("s_tok", "s"), ("r_tok", "r")) for n in (2, 3)}
-    base = staged(v.select("row_id", "s_enc", "s_tok", "r_tok", "s_neg", "r_neg"), sets | grams)
     ref = lambda x: F.when(F.size("r_tok") > 0, x)
     ns, nr = F.size("s_tok"), F.size("r_tok")
-    return base.select(
-        "row_id",
-        ref(tx.jaccard(c("s"), c("r"))).alias("lex_token_overlap"),
-        ref(tx.ratio(tx.shared(c("s"), c("r")), F.size("r"))).alias("lex_token_overlap_recall"),
-        ref(tx.ratio(tx.shared(c("s"), c("r")), F.size("s"))).alias("lex_token_overlap_prec"),
-        ref(tx.dice(c("s"), c("r"))).alias("lex_token_dice"),
-        ref(tx.jaccard(c("s2"), c("r2"))).alias("lex_bigram_overlap"),
-        ref(tx.jaccard(c("s3"), c("r3"))).alias("lex_trigram_overlap"),
-        ref(tx.jaccard(c("sn"), c("rn"))).alias("lex_content_word_overlap_neg"),
-        ref(tx.ratio(ns, nr)).alias("len_ratio_sr"),
-        ref(F.ln((ns + 1.0) / (nr + 1.0))).alias("len_logratio_sr"),
-        ns.cast("double").alias("len_student_tokens"),
-        F.length("s_enc").cast("double").alias("len_student_chars"),
-        tx.ratio(F.size("s"), ns).alias("len_student_uniq_ratio"),
-    )
+    shared = tx.shared(c("s"), c("r"))
+    every = {
+        "lex_token_overlap": (ref(tx.jaccard(c("s"), c("r"))), "s r"),
+        "lex_token_overlap_recall": (ref(tx.ratio(shared, F.size("r"))), "s r"),
+        "lex_token_overlap_prec": (ref(tx.ratio(shared, F.size("s"))), "s r"),
+        "lex_token_dice": (ref(tx.dice(c("s"), c("r"))), "s r"),
+        "lex_bigram_overlap": (ref(tx.jaccard(c("s2"), c("r2"))), "s2 r2"),
+        "lex_trigram_overlap": (ref(tx.jaccard(c("s3"), c("r3"))), "s3 r3"),
+        "lex_content_word_overlap_neg": (ref(tx.jaccard(c("sn"), c("rn"))), "sn rn"),
+        "len_ratio_sr": (ref(tx.ratio(ns, nr)), ""),
+        "len_logratio_sr": (ref(F.ln((ns + 1.0) / (nr + 1.0))), ""),
+        "len_student_tokens": (ns.cast("double"), ""),
+        "len_student_chars": (F.length("s_enc").cast("double"), ""),
+        "len_student_uniq_ratio": (tx.ratio(F.size("s"), ns), "s"),
+    }
+    wanted = {n: every[n] for n in columns or every}
+    needs = {x for _, sets in wanted.values() for x in sets.split()}
+    sets = {n: F.array_distinct(x) for x, n in (("s_tok", "s"), ("r_tok", "r"), ("s_neg", "sn"), ("r_neg", "rn"))}
+    sets |= {f"{a}{n}": tx.ngrams(c(x), n) for x, a in (("s_tok", "s"), ("r_tok", "r")) for n in (2, 3)}
+    sets = {n: x for n, x in sets.items() if n in needs}
+    base = v.select("row_id", *keep, "s_enc", "s_tok", "r_tok", *[x for x, n in (("s_neg", "sn"), ("r_neg", "rn")) if n in needs])
+    return (staged(base, sets) if sets else base).select("row_id", *keep, *[x.alias(n) for n, (x, _) in wanted.items()])
 
 
 def negation(v: DataFrame) -> DataFrame:
@@ -90,27 +95,27 @@ def entities(v: DataFrame, mentions=tx.entity_mentions) -> DataFrame:
 def tfidf_cosine(df: DataFrame, tokens_s: str, tokens_r: str, group: str = "dataset", min_df: int = 2, n_max: int = 2) -> DataFrame:
     """row_id, tfidf_cosine: smoothed idf over students and references of a group, L2 norms, 1..n_max grams.
 
-    A group whose vocabulary would be empty at ``min_df`` uses 1. Terms are counted within rows before they are
-    shuffled; the norms are taken per side, so unshared terms count.
+    A group whose vocabulary would be empty at ``min_df`` uses 1. Terms are 64-bit hashes, counted within rows before
+    they are shuffled; the norms are taken per side, so unshared terms count.
     """
 
-    def of_length(t, n: int):
-        parts = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
-        return F.when(F.size(t) >= n, parts).otherwise(F.array().cast("array<string>"))
+    def grams(t):
+        """64-bit hashes of the 1..n_max grams of a token array, in one flat array."""
+        of = lambda n: F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.xxhash64(*[F.get(t, i + (k - 1)) for k in range(n)]))
+        return F.concat(*[F.when(F.size(t) >= n, of(n)).otherwise(F.array().cast("array<bigint>")) for n in range(1, n_max + 1)])
 
-    grams = lambda t: F.concat(*[of_length(t, n) for n in range(1, n_max + 1)])
-    both = df.select("row_id", group, F.lit("s").alias("side"), F.explode(grams(F.col(tokens_s))).alias("term")).union(df.select("row_id", group, F.lit("r").alias("side"), F.explode(grams(F.col(tokens_r))).alias("term")))
-    tf = both.groupBy("row_id", group, "side", "term").agg(F.count("*").alias("tf"))
+    # Both sides of a row meet in one aggregation: term counts by (row, term), positive for s, and for r.
+    marked = lambda t, r: F.transform(grams(F.col(t)), lambda h: F.struct(h.alias("term"), F.lit(r).alias("r")))
+    sides = F.concat(marked(tokens_s, 0), marked(tokens_r, 1))
+    flat = df.select("row_id", group, F.explode(sides).alias("g")).select("row_id", group, "g.term", "g.r")
+    term = flat.groupBy("row_id", group, "term").agg(F.count_if(F.col("r") == 0).alias("ns"), F.count_if(F.col("r") == 1).alias("nr"))
     size = df.groupBy(group).agg((2 * F.count("*")).alias("n_docs"))
-    doc = tf.groupBy(group, "term").agg(F.count("*").alias("df"))
+    doc = term.groupBy(group, "term").agg(F.sum((F.col("ns") > 0).cast("long") + (F.col("nr") > 0).cast("long")).alias("df"))
     top = doc.groupBy(group).agg(F.max("df").alias("top"))
-    kept = doc.join(top, group).where(F.col("df") >= F.when(F.col("top") >= min_df, min_df).otherwise(1))
-    idf = kept.join(size, group).select(group, "term", (F.ln((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    w = tf.join(idf, [group, "term"]).select("row_id", "side", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    # One pass: both sides of a (row, term) meet in one aggregation instead of a join.
-    side = lambda x: F.sum(F.when(F.col("side") == x, F.col("w")).otherwise(0.0))
-    term = w.groupBy("row_id", "term").agg(side("s").alias("ws"), side("r").alias("wr"))
-    dots = term.groupBy("row_id").agg(F.sum(F.col("ws") * F.col("wr")).alias("dot"), F.sum(F.col("ws") * F.col("ws")).alias("ss"), F.sum(F.col("wr") * F.col("wr")).alias("rr"))
+    kept = doc.join(F.broadcast(top), group).where(F.col("df") >= F.when(F.col("top") >= min_df, min_df).otherwise(1))  # one row a group
+    idf = kept.join(F.broadcast(size), group).select(group, "term", (F.ln((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    w = term.join(idf, [group, "term"]).select("row_id", (F.col("ns") * F.col("idf")).alias("ws"), (F.col("nr") * F.col("idf")).alias("wr"))
+    dots = w.groupBy("row_id").agg(F.sum(F.col("ws") * F.col("wr")).alias("dot"), F.sum(F.col("ws") * F.col("ws")).alias("ss"), F.sum(F.col("wr") * F.col("wr")).alias("rr"))
     cosine = F.coalesce(F.try_divide("dot", F.sqrt(F.col("ss") * F.col("rr"))), F.lit(0.0))
     return df.select("row_id", F.size(tokens_r).alias("__nr")).join(dots, "row_id", "left").select("row_id", F.when(F.col("__nr") > 0, cosine).alias("tfidf_cosine"))
 
@@ -160,7 +165,7 @@ def perturb(v: DataFrame, kind: str, seed: int = 0, share: float = 0.3) -> DataF
 
 
 _NEEDS_REFERENCE = lambda name: name not in ("len_student_tokens", "len_student_chars", "len_student_uniq_ratio", "neg_student_count", "neg_student_present", "ner_student_count", "ner_student_uniq_types")
-#: Feature columns by branch.
+#: Feature columns by branch.
 BRANCHES = {
     "lexical": ("lex_token_overlap", "lex_token_overlap_recall", "lex_token_overlap_prec", "lex_token_dice", "lex_bigram_overlap", "lex_trigram_overlap", "lex_content_word_overlap_neg", "len_ratio_sr", "len_logratio_sr", "len_student_tokens", "len_student_chars", "len_student_uniq_ratio"),
     "tfidf": ("tfidf_cosine",),
@@ -176,15 +181,19 @@ def dictionary() -> list[dict]:
     return [{"branch": b, "feature": c, "dtype": "double", "needs_reference": _NEEDS_REFERENCE(c)} for b, names in BRANCHES.items() for c in names]
 
 
+#: Prefixes of the feature names that each ablation group takes (A encoder, B surface, C rubric, D neural).
+GROUPS = {"A": ("sem_",), "B": ("lex_", "len_", "tfidf_", "neg_", "ner_"), "C": ("rub_",), "D": ("neural_",)}
+#: Columns of a neural head's out-of-fold predictions, which join the 31 features in hybrid runs.
+NEURAL = ("neural_score", "neural_pred")
+
+
 def variant_columns(columns: list[str]) -> dict[str, list[str]]:
-    """Ablation variants: the full set, each branch group alone left out, negation columns out, and the lexical base alone."""
-    groups = {"A": BRANCHES["semantic"], "B": BRANCHES["lexical"] + BRANCHES["tfidf"], "C": BRANCHES["entities"], "D": BRANCHES["rubric"]}
-    negative = set(BRANCHES["negation"]) | {"lex_content_word_overlap_neg"}
-    without = lambda drop: [c for c in columns if c not in drop]
+    """Ablation variants: the full set, each group left out, each group alone, and the negation cues left out."""
     out = {"full": list(columns)}
-    out |= {f"minus_{g}": without(set(names)) for g, names in groups.items()}
-    out["minus_negation"] = without(negative)
-    out |= {f"only_{g}": [c for c in columns if c in names] for g, names in groups.items()}
+    for name, prefixes in GROUPS.items():
+        out[f"minus_{name}"] = [c for c in columns if not c.startswith(prefixes)]
+        out[f"only_{name}"] = [c for c in columns if c.startswith(prefixes)]
+    out["minus_negation"] = [c for c in columns if not c.startswith("neg_") and c != "lex_content_word_overlap_neg"]
     return out
 
 

@@ -18,8 +18,13 @@ def score_bins(score: Column, low: Column, high: Column, n: int = 6) -> Column:
 
 
 def binned(df: DataFrame, keys: list[str], n: int = 6) -> DataFrame:
-    by = Window.partitionBy(*keys)
-    return df.withColumn("bin", score_bins(F.col("score"), F.min("score").over(by), F.max("score").over(by), n))
+    """df with ``bin``: limits by one aggregation (a row a key; of the whole table one row), not by a window over whole rows."""
+    limits = df.groupBy(*keys).agg(F.min("score").alias("__low"), F.max("score").alias("__high"))
+    if keys:
+        near = df.join(limits.withColumnsRenamed({k: f"__{k}" for k in keys}), F.expr(" and ".join(f"`{k}` <=> `__{k}`" for k in keys)), "left")
+    else:
+        near = df.crossJoin(F.broadcast(limits))
+    return near.withColumn("bin", score_bins(F.col("score"), F.col("__low"), F.col("__high"), n)).select(*df.columns, "bin")
 
 
 def stratified(df: DataFrame, keys: list[str], k: int = 5, seed: int = 42) -> DataFrame:

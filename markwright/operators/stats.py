@@ -66,12 +66,13 @@ def temperature(df: DataFrame, keys: list[str], low: float = 0.5, high: float =
     """Temperature with the least mean negative log-likelihood over a grid; of equals the first. Rows: probs (array), y (index)."""
     n = round((high - low) / step) + 1
     grid = df.sparkSession.range(n).select((F.lit(low) + F.col("id") * step).alias("t"))
-    logp = df.withColumn("__z", F.transform("probs", lambda x: F.ln(F.least(F.greatest(x, F.lit(1e-12)), F.lit(1.0)))))
+    counted = df.groupBy(*keys, "probs", "y").agg(F.count("*").alias("n"))  # equal rows meet the grid once
+    logp = counted.withColumn("__z", F.transform("probs", lambda x: F.ln(F.least(F.greatest(x, F.lit(1e-12)), F.lit(1.0)))))
     each = logp.join(F.broadcast(grid))  # a fixed grid of n rows
     top = F.array_max("__z") / F.col("t")
     total = F.aggregate("__z", F.lit(0.0), lambda s, z: s + F.exp(z / F.col("t") - top))
     nll = F.ln(total) + top - F.get("__z", F.col("y")) / F.col("t")
-    mean = each.groupBy(*keys, "t").agg(F.avg(nll).alias("nll"))
+    mean = each.groupBy(*keys, "t").agg((F.sum(nll * F.col("n")) / F.sum(F.when(nll.isNotNull(), F.col("n")))).alias("nll"))
     return mean.groupBy(*keys).agg(F.min_by("t", F.struct(F.round("nll", 9), F.col("t"))).alias("temperature"), F.min(F.round("nll", 9)).alias("nll"))
 
 

@@ -38,9 +38,9 @@ L = with_(ANSWERS, VIEWS, LEX)
 
 @query(L + "SELECT dataset, split, count(*) AS n, round(avg(lex_token_overlap), 6) AS mean_overlap, round(avg(lex_token_overlap_recall), 6) AS mean_recall FROM lexical GROUP BY ALL")
 def lexical_overlap_summary(spark, sf):
-    v = views(spark, sf)
-    both = v.select("row_id", "dataset", "split").join(ft.lexical(v).select("row_id", "lex_token_overlap", "lex_token_overlap_recall"), "row_id")
-    out = both.groupBy("dataset", "split").agg(F.count("*").alias("n"), F.avg("lex_token_overlap").alias("mean_overlap"), F.avg("lex_token_overlap_recall").alias("mean_recall"))
+    names = ("lex_token_overlap", "lex_token_overlap_recall")
+    both = ft.lexical(ft.views(answers(spark, sf), normalize=False, negation=False), names, ("dataset", "split"))
+    out = both.groupBy("dataset", "split").agg(F.count("*").alias("n"), F.avg(names[0]).alias("mean_overlap"), F.avg(names[1]).alias("mean_recall"))
     return r6(out, "mean_overlap", "mean_recall")
 
 
@@ -349,18 +349,32 @@ def feature_target_assoc(spark, sf):
     return mt.spearman(long, ["dataset", "feature"], "x", "score").select("dataset", "feature", "n", F.round(F.abs("spearman"), 6).alias("association"))
 
 
-def _variant_sql() -> str:
-    rows = [(v, len(c), ",".join(c)) for v, c in ft.variant_columns([x for b in ft.BRANCHES.values() for x in b]).items()]
-    return "SELECT * FROM (VALUES " + ", ".join(f"('{v}', {n}::BIGINT, '{c}')" for v, n, c in rows) + ") t(variant, n_columns, columns)"
-
-
-@query(_variant_sql())
+#: The features in order, and what SQL needs to tell the groups apart: written out here, apart from the operator's own lists.
+_NAMES = """
+lex_token_overlap lex_token_overlap_recall lex_token_overlap_prec lex_token_dice lex_bigram_overlap lex_trigram_overlap lex_content_word_overlap_neg
+len_ratio_sr len_logratio_sr len_student_tokens len_student_chars len_student_uniq_ratio tfidf_cosine
+neg_student_count neg_student_present neg_reference_count neg_polarity_mismatch neg_overlap_delta
+ner_student_count ner_student_uniq_types ner_overlap_count ner_overlap_jaccard ner_ref_recall
+sem_cosine sem_abs_diff_mean sem_hadamard_mean rub_n_concepts rub_mean_maxsim rub_min_maxsim rub_max_maxsim rub_coverage_at_tau
+neural_score neural_pred""".split()
+_VARIANT_SQL = f"""WITH f AS (SELECT c, i, CASE split_part(c, '_', 1) WHEN 'sem' THEN 'A' WHEN 'rub' THEN 'C' WHEN 'neural' THEN 'D' ELSE 'B' END AS g
+  FROM (SELECT unnest({_NAMES!r}) AS c, generate_subscripts({_NAMES!r}, 1) AS i)),
+v AS (SELECT 'full' AS variant, c, i, true AS own FROM f
+  UNION ALL SELECT 'minus_' || x, c, i, g <> x FROM f, (VALUES ('A'), ('B'), ('C'), ('D')) t(x)
+  UNION ALL SELECT 'only_' || x, c, i, g = x FROM f, (VALUES ('A'), ('B'), ('C'), ('D')) t(x)
+  UNION ALL SELECT 'minus_negation', c, i, NOT (c LIKE 'neg\\_%' ESCAPE '\\' OR c = 'lex_content_word_overlap_neg') FROM f)
+SELECT variant, count(*) FILTER (own) AS n_columns, string_agg(c, ',' ORDER BY i) FILTER (own) AS columns FROM v GROUP BY variant"""
+
+
+@query(_VARIANT_SQL)
 def ablation_variant_columns(spark, sf):
-    rows = [(v, len(c), ",".join(c)) for v, c in ft.variant_columns([x for b in ft.BRANCHES.values() for x in b]).items()]
+    names = [*[x for b in ft.BRANCHES.values() for x in b], *ft.NEURAL]
+    rows = [(v, len(c), ",".join(c)) for v, c in ft.variant_columns(names).items()]
     return spark.createDataFrame(rows, "variant string, n_columns long, columns string")
 
 
-@query()
+@query(f"""SELECT CASE WHEN c LIKE 'lex%' OR c LIKE 'len%' THEN 'lexical' WHEN c LIKE 'tfidf%' THEN 'tfidf' WHEN c LIKE 'neg%' THEN 'negation' WHEN c LIKE 'ner%' THEN 'entities' WHEN c LIKE 'sem%' THEN 'semantic' ELSE 'rubric' END AS branch,
+  c AS feature, 'double' AS dtype, c NOT LIKE 'len_student%' AND c NOT LIKE 'neg_student%' AND c NOT LIKE 'ner_student%' AS needs_reference FROM (SELECT unnest({_NAMES[:31]!r}) AS c)""")
 def feature_dictionary(spark, sf):
     """Metadata of the 31 features."""
     return spark.createDataFrame(ft.dictionary(), "branch string, feature string, dtype string, needs_reference boolean")

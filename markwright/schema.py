@@ -42,16 +42,16 @@ class Task:
     test_splits: tuple[str, ...] = ()
 
 
-_CLASSES, _ORDINAL, _REAL = ("macro_f1", "weighted_f1", "accuracy"), ("qwk", "pearson", "rmse", "mae"), ("pearson", "spearman", "rmse", "mae")
+#: Target, protocol, metrics and test splits of each corpus.
 TASKS = {
     t.name: t
     for t in (
-        Task("semeval", "classification", "label", "official", "macro_f1", _CLASSES, test_splits=("test_ua", "test_uq", "test_ud")),
-        Task("saf", "regression", "score", "official", "pearson", _REAL, test_splits=("test_ua", "test_uq")),
-        Task("asap_sas", "ordinal", "score", "official", "qwk", _ORDINAL, per_prompt=True, test_splits=("test_ua",)),
-        Task("mohler", "regression", "score", "kfold", "pearson", _REAL),
-        Task("powergrading", "classification", "label", "kfold", "macro_f1", _CLASSES),
-        Task("mindreading", "ordinal", "score", "kfold", "qwk", _ORDINAL),
+        Task("semeval", "classification", "label", "official", "macro_f1", ("macro_f1", "weighted_f1", "accuracy"), test_splits=("test_ua", "test_uq", "test_ud")),
+        Task("saf", "regression", "score", "official", "pearson", ("rmse", "mae", "pearson", "spearman"), test_splits=("test_ua", "test_uq")),
+        Task("asap_sas", "ordinal", "score", "official", "qwk", ("qwk", "accuracy"), per_prompt=True, test_splits=("test_ua",)),
+        Task("mohler", "regression", "score", "kfold", "pearson", ("pearson", "spearman", "rmse", "mae")),
+        Task("powergrading", "classification", "label", "kfold", "macro_f1", ("macro_f1", "accuracy", "qwk")),
+        Task("mindreading", "ordinal", "score", "kfold", "qwk", ("qwk", "accuracy")),
     )
 }
 

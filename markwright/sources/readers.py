@@ -17,7 +17,7 @@ from ..schema import coerce
 
 #: Corpora and split folders of the XML source, file stems of the Parquet source, domains of the TSV prompts.
 XML_CORPORA = ("beetle", "sciEntsBank")
-XML_SPLITS = {"train": "train", "test-unseen-answers": "test_ua", "test-unseen-questions": "test_uq", "test-unseen-domains": "test_ud"}
+XML_SPLITS = {"train": "train", "training": "train", "test-unseen-answers": "test_ua", "test-unseen-questions": "test_uq", "test-unseen-domains": "test_ud"}
 PARQUET_SPLITS = {"train": "train", "validation": "dev", "unseen_answers": "test_ua", "unseen_questions": "test_uq"}
 TSV_SPLITS = {"train": "train", "dev": "dev", "validation": "dev", "test": "test_ua"}
 PROMPT_DOMAINS = {"1": "science", "2": "science", "5": "biology", "6": "biology"}
@@ -34,24 +34,42 @@ def _mapped(value, table: dict[str, str], default=None):
     return F.coalesce(found, F.lit(default)) if default is not None else found
 
 
+def _xml_place(path) -> list:
+    """corpus, split folder, and whether a file lies in the folder's ``Core``; all empty for files elsewhere (``Extra``, deeper folders)."""
+    pattern = "/(" + "|".join(XML_CORPORA) + ")/([^/]+)/(Core/)?[^/]+[.]xml$"
+    return [F.regexp_extract(path, pattern, i).alias(n) for i, n in ((1, "corpus"), (2, "folder"), (3, "core"))]
+
+
 def xml(spark: SparkSession, root: str, corpus: str | None = None) -> DataFrame:
-    """``root/corpus/split/(Core/)*.xml``: one row a student answer; the BEST reference, else the first; malformed files give no rows."""
-    at = F.col("_metadata.file_path")
-    df = spark.read.format("xml").option("rowTag", "question").option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").schema(XML_QUESTION).load(root).select("*", at.alias("path"))
-    df = df.withColumns({"corpus": F.regexp_extract("path", "/(" + "|".join(XML_CORPORA) + ")/", 1), "folder": F.regexp_extract("path", "/(?:" + "|".join(XML_CORPORA) + ")/([^/]+)/", 1)})
-    df = df.withColumn("split", _mapped(F.col("folder"), XML_SPLITS)).where("corpus <> '' and split is not null")
+    """``root/corpus/split/(Core/)*.xml``: one row a student answer; the BEST reference, else the first; malformed files give no rows.
+
+    ``Core`` holds the primary annotation and other folders the same answers again, so a split with a file in
+    ``Core`` is read from there, any other from its own folder. A question without an id takes its file's name.
+    """
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": "*.xml"}
+    files = spark.read.format("binaryFile").options(**options).load(root).select(*_xml_place(F.col("path")))  # names only
+    cored = files.where("core <> ''").select(F.col("corpus").alias("c"), F.col("folder").alias("f")).distinct()
+    df = spark.read.format("xml").option("rowTag", "question").option("mode", "DROPMALFORMED").options(**options).schema(XML_QUESTION).load(root)
+    df = df.select("*", F.col("_metadata.file_path").alias("path"))
+    df = df.select("*", *_xml_place(F.col("path"))).withColumn("split", _mapped(F.col("folder"), XML_SPLITS)).where("corpus <> '' and split is not null")
     if corpus:
         df = df.where(F.col("corpus") == corpus)
+    df = df.join(F.broadcast(cored), F.expr("corpus = c and folder = f"), "left").where("c is null or core <> ''")  # a row a corpus and split
     refs = F.col("referenceAnswers.referenceAnswer")
     best = F.coalesce(F.get(F.filter(refs, lambda r: F.upper(r["_category"]) == "BEST"), F.lit(0)), F.get(refs, F.lit(0)))
-    rows = df.select(F.col("_id").alias("question_id"), F.trim("questionText").alias("question"), F.trim(best["_VALUE"]).alias("reference_answer"), "corpus", "split", F.explode("studentAnswers.studentAnswer").alias("a"))
+    question = F.coalesce("_id", F.regexp_extract("path", r"([^/]+)[.]xml$", 1)).alias("question_id")
+    rows = df.select(question, F.trim("questionText").alias("question"), F.trim(best["_VALUE"]).alias("reference_answer"), "corpus", "split", F.explode("studentAnswers.studentAnswer").alias("a"))
     return coerce(rows.select("question_id", "question", "reference_answer", F.trim("a._VALUE").alias("student_answer"), F.col("a._accuracy").alias("label"), F.lit("semeval").alias("dataset"), F.col("corpus").alias("domain"), "split"))
 
 
+def _stem(extension: str):
+    """Name of a file, or of the folder that a writer put its parts in, without extension and shard numbers."""
+    return F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]*?)(?:-\d+-of-\d+)?[.]{extension}(?:/[^/]+)?$", 1)
+
+
 def parquet_splits(spark: SparkSession, root: str, dataset: str = "saf", domain: str = "communication_networks") -> DataFrame:
-    """One Parquet file a split; files of unknown stems are skipped; the question's MD5 prefix is its id."""
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:-\d+-of-\d+)?\.parquet$", 1)
-    df = spark.read.parquet(root).select("*", stem.alias("stem")).withColumn("split", _mapped(F.col("stem"), PARQUET_SPLITS)).where("split is not null")
+    """One Parquet file (or folder) a split; files of unknown stems are skipped; the question's MD5 prefix is its id."""
+    df = spark.read.option("recursiveFileLookup", "true").parquet(root).select("*", _stem("parquet").alias("stem")).withColumn("split", _mapped(F.col("stem"), PARQUET_SPLITS)).where("split is not null")
     return coerce(df.select(tx.question_hash(F.col("question")).alias("question_id"), "question", "reference_answer", F.col("provided_answer").alias("student_answer"), "score", F.col("verification_feedback").alias("label"), F.lit(dataset).alias("dataset"), F.lit(domain).alias("domain"), "split"))
 
 
@@ -64,12 +82,12 @@ def parquet_single(spark: SparkSession, path: str, dataset: str = "mohler", doma
 
 
 def _tsv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    return spark.read.option("recursiveFileLookup", "true").option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
 
 
 def tsv_prompts(spark: SparkSession, root: str) -> DataFrame:
     """``{split}.tsv`` with EssaySet, Score1 and EssayText; texts may hold line breaks."""
-    df = _tsv(spark, root).select("*", F.regexp_extract(F.col("_metadata.file_name"), r"^(\w+)\.tsv$", 1).alias("stem")).withColumn("split", _mapped(F.col("stem"), TSV_SPLITS)).where("split is not null")
+    df = _tsv(spark, root).select("*", _stem("tsv").alias("stem")).withColumn("split", _mapped(F.col("stem"), TSV_SPLITS)).where("split is not null")
     return coerce(df.select(F.concat(F.lit("set_"), "EssaySet").alias("question_id"), F.col("EssayText").alias("student_answer"), F.col("Score1").alias("score"), F.lit("asap_sas").alias("dataset"), _mapped(F.col("EssaySet"), PROMPT_DOMAINS, "science").alias("domain"), "split"))
 
 
@@ -82,7 +100,7 @@ def two_raters(spark: SparkSession, root: str) -> DataFrame:
 def answer_key(spark: SparkSession, path: str) -> DataFrame:
     """Ragged TSV: question_id, question, and the first non-blank alternative as reference; the header line is skipped."""
     parts = spark.read.text(path).select(F.split("value", "\t").alias("f")).where(~F.lower(F.get("f", F.lit(0))).isin("qid", "q#", "question_id"))
-    first = F.get(F.filter(F.slice("f", 3, 10_000), lambda x: F.trim(x) != ""), F.lit(0))
+    first = F.get(F.filter(F.slice("f", F.lit(3), F.greatest(F.size("f"), F.lit(1))), lambda x: F.trim(x) != ""), F.lit(0))
     return parts.select(F.trim(F.get("f", F.lit(0))).alias("question_id"), F.trim(F.get("f", F.lit(1))).alias("question"), F.coalesce(F.trim(first), F.lit("")).alias("reference_answer")).where("question_id <> ''")
 
 
@@ -91,7 +109,7 @@ def graded_tsv(spark: SparkSession, path: str, key_path: str) -> DataFrame:
     grades = [F.expr(f"try_cast({g} AS DOUBLE)").alias(g.lower()) for g in ("G1", "G2", "G3")]
     df = _tsv(spark, path).select(F.col("`Q#`").alias("question_id"), F.col("answer").alias("student_answer"), *grades).na.drop(subset=["g1", "g2", "g3"])
     votes = sum((F.col(g) > 0).cast("int") for g in ("g1", "g2", "g3"))
-    rows = df.join(F.broadcast(answer_key(spark, key_path)), "question_id", "left")  # one row a question
+    rows = df.join(answer_key(spark, key_path), "question_id", "left")  # one row a question; Spark broadcasts it by its size
     return coerce(rows.select("question_id", "question", "reference_answer", "student_answer", ((F.col("g1") + F.col("g2") + F.col("g3")) / 3 + 1).alias("__s"), F.when(votes >= 2, "correct").otherwise("incorrect").alias("label")).withColumn("score", F.col("__s") / 2).withColumns({"dataset": F.lit("powergrading"), "domain": F.lit("civics"), "split": F.lit("all")}))
 
 
@@ -140,9 +158,9 @@ def spreadsheets(spark: SparkSession, root: str, prompt: str = "Explain the ment
     return coerce(rows.select(F.col("task").alias("question_id"), F.concat(F.lit(before), "task", F.lit(after)).alias("question"), F.col("answer").alias("student_answer"), "score", F.concat(F.lit("score_"), whole).alias("label"), F.lit("mindreading").alias("dataset"), F.lit("psychology").alias("domain"), F.lit("all").alias("split")))
 
 
-def json_records(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
-    """Multi-line JSON records reduced to ``columns``; missing ones are empty."""
-    df = spark.read.option("multiLine", True).json(path)
+def json_records(spark: SparkSession, path: str, columns: tuple[str, ...], lines: bool = False) -> DataFrame:
+    """JSON records (arrays of them, or one a line) reduced to ``columns``; missing ones are empty."""
+    df = spark.read.option("multiLine", not lines).json(path)
     return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns])
 
 

@@ -23,7 +23,7 @@ def json_lines(df: DataFrame, path: str, first: int | None = None, key: str = "r
 
 def csv(df: DataFrame, path: str, sep: str = ",") -> None:
     """One file of a small report."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(path)
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def sidecar(df: DataFrame, features: list[str] = ()) -> dict:
