@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import answer_queries, metric_queries  # noqa: F401  (both fill the registry)
+from .plans import answer_queries, io_queries, metric_queries  # noqa: F401  (all fill the registry)
 
 QUERIES = answer_queries.QUERIES
 ORACLES = answer_queries.ORACLES

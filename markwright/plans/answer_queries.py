@@ -27,8 +27,8 @@ def r6(df, *names):
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
-def views(spark, sf):
-    return ft.views(answers(spark, sf), normalize=False)
+def views(spark, sf, negation=True):
+    return ft.views(answers(spark, sf), normalize=False, negation=negation)
 
 
 A = with_(ANSWERS)
@@ -217,7 +217,7 @@ tfidf AS (SELECT v.row_id, v.dataset, v.split, v.score, v.label, CASE WHEN len(v
 
 @query(with_(ANSWERS, VIEWS, _TFIDF) + "SELECT row_id, round(tfidf_cosine, 6) AS tfidf_cosine FROM tfidf")
 def tfidf_cosine(spark, sf):
-    return r6(ft.tfidf_cosine(views(spark, sf), "s_tok", "r_tok"), "tfidf_cosine")
+    return r6(ft.tfidf_cosine(views(spark, sf, negation=False), "s_tok", "r_tok"), "tfidf_cosine")
 
 
 _MENTION = r"""list_concat(list_transform(regexp_extract_all(T, '\b(\d+(?:[.,]\d+)*)\b', 1), lambda x: 'N:' || lower(x)), list_transform(regexp_extract_all(T, '[a-z,;] ([A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)*)', 1), lambda x: 'C:' || lower(x)))"""
@@ -231,7 +231,7 @@ SELECT row_id, len(a)::DOUBLE AS ner_student_count, len(list_distinct(list_trans
   CASE WHEN ref THEN round({jac("s", "r")}, 6) END AS ner_overlap_jaccard, CASE WHEN ref THEN round(len(list_intersect(s, r))::DOUBLE / nullif(len(r), 0), 6) END AS ner_ref_recall FROM k"""
 )
 def entity_features(spark, sf):
-    return r6(ft.entities(views(spark, sf)), "ner_overlap_jaccard", "ner_ref_recall")
+    return r6(ft.entities(views(spark, sf, negation=False)), "ner_overlap_jaccard", "ner_ref_recall")
 
 
 _UNIT = "list_transform(e, lambda x: x / sqrt(list_dot_product(e, e)))"
@@ -276,7 +276,7 @@ def concept_attribution(spark, sf):
 @query()
 def rubric_sentences(spark, sf):
     """Sentence-level rubric coverage of answers (the reference's sentences are concepts)."""
-    return r6(ft.rubric(rubric_text.sentence_similarities(views(spark, sf))), *ft.BRANCHES["rubric"][1:])
+    return r6(ft.rubric(rubric_text.sentence_similarities(views(spark, sf, negation=False))), *ft.BRANCHES["rubric"][1:])
 
 
 @query()

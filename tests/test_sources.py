@@ -60,3 +60,30 @@ def test_streaming(spark, tmp_path):
     q = stream.scored_stream(s).writeStream.format("memory").queryName("scored").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert spark.table("scored").first().lex_token_overlap == 0.5
+
+
+QUESTION = '<question id="{id}"><questionText>Why?</questionText><referenceAnswers><referenceAnswer category="GOOD" id="r">good</referenceAnswer></referenceAnswers><studentAnswers><studentAnswer accuracy="correct" id="s">{text}</studentAnswer></studentAnswers></question>'
+
+
+def test_xml_reads_each_answer_once(spark, tmp_path):
+    def put(place, text, question='id="Q"'):
+        d = tmp_path / place
+        d.mkdir(parents=True, exist_ok=True)
+        (d / "q1.xml").write_text(QUESTION.replace('id="{id}"', question).replace("{text}", text))
+
+    for folder in ("Core", "Extra", "Dependency"):
+        put(f"beetle/train/{folder}", folder)
+    put("beetle/train", "loose")
+    put("sciEntsBank/test-unseen-domains", "own", "")
+    put("sciEntsBank/test-unseen-domains/Extra", "extra")
+    put("sciEntsBank/training/Core", "legacy")
+    put("sciEntsBank/reliability/round1", "skipped")
+    put("other/train/Core", "skipped")
+    rows = sorted((r.domain, r.split, r.question_id, r.student_answer) for r in readers.xml(spark, str(tmp_path)).collect())
+    assert rows == [("beetle", "train", "Q", "Core"), ("sciEntsBank", "test_ud", "q1", "own"), ("sciEntsBank", "train", "Q", "legacy")]
+    assert readers.xml(spark, str(tmp_path), "beetle").count() == 1
+
+
+def test_answer_key_takes_any_number_of_alternates(spark, tmp_path):
+    (tmp_path / "key.tsv").write_text("qid\tquestion\n7\tq" + "\t" * 20_000 + "late\n")
+    assert [tuple(r) for r in readers.answer_key(spark, str(tmp_path / "key.tsv")).collect()] == [("7", "q", "late")]
