@@ -56,7 +56,7 @@ FLUSH = 2_000_000  # hashes a task holds before it sorts and emits them
 LOCAL = 4  # a shingle in so many distinct sets of one task's flush is reported as frequent
 MOST_FREQUENT = 1_000_000  # bound of the frequent list that is broadcast (16 MB)
 SMALL = 8  # buckets up to here give all their (at most 28) pairs at once
-SHARD_ROWS = 4_000_000  # tokens that one task sorts at once
+SHARD_ROWS = 2_000_000  # tokens that one task sorts at once
 BLOCK = 512  # members of a large bucket that are compared with as many at once
 SALT = 16  # parts that a bucket's rows are dealt to when they meet the bucket's own row
 BROADCAST_IDS = 2_000_000  # ids broadcast to filter texts; beyond it the filter is a shuffled join
@@ -355,8 +355,9 @@ def _possible_pairs(m: Members, split: bool, percent: int) -> tuple[np.ndarray,
             i, j = np.nonzero(ok)
             if len(i):
                 apart = np.zeros(len(i), np.int64)
-                for c in range(0, len(i), 50_000):
-                    apart[c : c + 50_000] = np.bitwise_count(maps[k + i[c : c + 50_000]] ^ all_maps[j[c : c + 50_000]]).sum(1)
+                some = max(1, 1_000_000 // maps.shape[1])  # pairs whose bitmaps take 8 MB a side
+                for c in range(0, len(i), some):
+                    apart[c : c + some] = np.bitwise_count(maps[k + i[c : c + some]] ^ all_maps[j[c : c + some]]).sum(1)
                 u, v = at[k + i], every[j]
                 both = (n[u] + n[v] - apart) // 2
                 good = 100 * both >= percent * (n[u] + n[v] - both)
