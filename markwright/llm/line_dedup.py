@@ -95,7 +95,7 @@ def _emitted(min_words: int, level: str):
                     if digest:
                         for column, v in zip((key, ids, texts, start, end), (digest, i, own, a, b), strict=True):
                             column.append(v)
-                if len(key) > 50_000:
+                if len(key) > 20_000:
                     yield from batches(rows())
                     key, ids, texts, start, end = [], [], [], [], []
             if key:
@@ -166,7 +166,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, level: str = "sentence")
     out = StructType([*base.select(*names).schema.fields]).add("__removed", spans.schema["__removed"].dataType)
 
     def cut(parts):
-        for batch in parts:
+        for batch in (whole.slice(k, 500) for whole in parts for k in range(0, whole.num_rows, 500)):  # spans take far more memory as objects
             texts, removed = batch.column(at).to_pylist(), batch.column("__removed").to_pylist()
             for i, spans_of in enumerate(removed):
                 if spans_of and texts[i] is not None:
