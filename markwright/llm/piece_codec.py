@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 BLANK = "▁"
-WORDS = 600_000  # words a worker remembers (about 130 MB)
+WORDS = 900_000  # words a worker remembers (about 200 MB)
 UNKNOWN_PENALTY = 10.0
 _PARTS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 _state: dict[str, Codec] = {}
