@@ -48,6 +48,22 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+_remembered: dict[str, dict] = {}
+
+
+def remembered(owner: str) -> dict:
+    """What the operator ``owner`` keeps in this Python worker from task to task; what others kept there goes.
+
+    Workers outlive a query, and an executor's memory has room for the words of one operator only.
+    """
+    others = [x for x in _remembered if x != owner]
+    for x in others:
+        del _remembered[x]
+    if others:
+        pa.default_memory_pool().release_unused()
+    return _remembered.setdefault(owner, {})
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of a string column without copying its text; a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):

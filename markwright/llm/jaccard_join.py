@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, blocks, longs, utf8, written
+from .common import batches, blocks, longs, remembered, utf8, written
 from .components import components
 from .textops import shingles, span_hashes, word_spans
 
@@ -109,6 +109,7 @@ def _length_class(n: Column, percent: int) -> Column:
 
 def _counted(size: int):
     def run(parts):
+        remembered("jaccard_join")
         held: list[np.ndarray] = []
         seen: set[bytes] = set()
         n_held = total = 0
@@ -175,6 +176,7 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _indexed(size: int, percent: int, frequent, shards: int):
     def run(parts):
+        remembered("jaccard_join")
         freq_tok, freq_cnt = frequent.value
         tokens: list[np.ndarray] = []
         owners: list[tuple[int, int, int]] = []  # group, its tokens here, how many of them are in the short prefix
@@ -278,6 +280,7 @@ def _shard(table: pa.Table) -> pa.Table:
 
 def _verified(size: int, percent: int):
     def run(parts):
+        remembered("jaccard_join")
         for batch in parts:
             left = sets_of(pa.RecordBatch.from_arrays([batch.column("ta")], ["text"]), size)
             right = sets_of(pa.RecordBatch.from_arrays([batch.column("tb")], ["text"]), size)
@@ -299,6 +302,7 @@ def _of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _possible(percent: int):
     def run(parts):
+        remembered("jaccard_join")
         for batch in parts:
             n, m = longs(batch.column("na")), longs(batch.column("nb"))
             x, y = batch.column("xa").to_pylist(), batch.column("xb").to_pylist()
@@ -395,6 +399,7 @@ def _crossing(percent: int):
     """Rows sorted by bucket and block pair to possible pairs; holds the members of one block pair."""
 
     def run(parts):
+        remembered("jaccard_join")
         held: pa.Table | None = None
 
         def pairs(table: pa.Table, last: bool):

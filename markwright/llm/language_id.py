@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, longs, written
+from .common import batches, longs, remembered, written
 from .textops import mix
 
 CHARS = 1 << 20  # characters worked on at once
@@ -63,6 +63,7 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(parts):
+    remembered("language_id")
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     n_held = 0
 
@@ -159,6 +160,7 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
     held: list[Filter] = []
 
     def run(parts):
+        remembered("language_id")
         if not held:
             held.append(Filter(*shared.value))
         own = held[0]

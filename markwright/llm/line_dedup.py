@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, written
+from .common import batches, remembered, written
 
 UNIT = "key binary, rank struct<id: long, text_key: binary, end: int>, start int"
 _BREAK = {"sentence": re.compile(r"\s*\n\s*|(?<=[.!?])[ \t]+"), "line": re.compile(r"\n"), "paragraph": re.compile(r"\n\s*\n")}
@@ -79,6 +79,7 @@ def text_key(text: str) -> bytes:
 
 def _emitted(min_words: int, level: str):
     def run(parts):
+        remembered("line_dedup")
         for batch in parts:
             key, ids, texts, start, end = [], [], [], [], []
 
@@ -155,6 +156,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, level: str = "sentence")
     base = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(own, names, strict=True)], F.col("doc_id").cast("long").alias("__id"))
 
     def with_key(parts):
+        remembered("line_dedup")
         for batch in parts:
             key = [None if (t := x.as_py()) is None else text_key(t) for x in batch.column(at)]
             yield batch.append_column("__key", pa.array(key, pa.binary()))
@@ -166,6 +168,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, level: str = "sentence")
     out = StructType([*base.select(*names).schema.fields]).add("__removed", spans.schema["__removed"].dataType)
 
     def cut(parts):
+        remembered("line_dedup")
         for batch in (whole.slice(k, 500) for whole in parts for k in range(0, whole.num_rows, 500)):  # spans take far more memory as objects
             texts, removed = batch.column(at).to_pylist(), batch.column("__removed").to_pylist()
             for i, spans_of in enumerate(removed):

@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
+from .common import remembered
+
 BLANK = "▁"
 WORDS = 900_000  # words a worker remembers (about 200 MB)
 UNKNOWN_PENALTY = 10.0
 _PARTS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
-_state: dict[str, Codec] = {}
 
 
 class Vocabulary:
@@ -178,9 +179,10 @@ class Codec:
 
 
 def _codec(path: str) -> Codec:
-    if path not in _state:
-        _state[path] = Codec(path)
-    return _state[path]
+    own = remembered("piece_codec")
+    if path not in own:
+        own[path] = Codec(path)
+    return own[path]
 
 
 def _pieces(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:

@@ -25,13 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, shared_path
+from .common import filesystem, remembered, shared_path
 
 MAGIC = b"MWTOK001"
 SAMPLE = 256  # every so many set bits a select position is stored
 WORDS = 800_000  # cached words a worker keeps
 _DOUBTFUL = "\u180e\u200b\ufeff"  # white space in some versions of Unicode
-_state: dict = {}
 
 
 class EliasFano:
@@ -166,9 +165,10 @@ def _is_word(part: str) -> bool:
 
 
 def _encoder(path: str) -> Encoder:
-    if path not in _state:
-        _state[path] = Encoder(path)
-    return _state[path]
+    own = remembered("token_files")
+    if path not in own:
+        own[path] = Encoder(path)
+    return own[path]
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, partitions: int | None = None) -> DataFrame:

@@ -205,3 +205,10 @@ def common_lit(x):
     from pyspark.sql import functions as F
 
     return F.lit(x)
+
+
+def test_a_worker_keeps_the_words_of_one_operator_only():
+    common.remembered("one")["path"] = "words"
+    assert common.remembered("one") == {"path": "words"}
+    assert common.remembered("two") == {}
+    assert common.remembered("one") == {}
