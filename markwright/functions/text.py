@@ -130,8 +130,13 @@ def truncate(text: Column, n: int = 220) -> Column:
     return F.when(F.length(t) > n, F.concat(F.substring(t, 1, n), F.lit("…"))).otherwise(t)
 
 
+def strip(text: Column) -> Column:
+    """``text`` without white space of any kind at its ends; null stays null."""
+    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
 def question_hash(text: Column) -> Column:
-    return F.substring(F.md5(F.trim(text)), 1, 16)
+    return F.substring(F.md5(strip(text)), 1, 16)
 
 
 def build_premise(question: Column, reference: Column) -> Column:

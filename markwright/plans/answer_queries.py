@@ -47,7 +47,15 @@ def lexical_overlap_summary(spark, sf):
 # -- validation --
 
 
-@query(A + "SELECT dataset, count(*) AS n, count(*) FILTER (trim(question) = '') AS blank_question, count(*) FILTER (trim(reference_answer) = '') AS blank_reference_answer, count(*) FILTER (trim(student_answer) = '') AS blank_student_answer, count(*) FILTER (trim(label) = '') AS blank_label, count(*) FILTER (score IS NULL) AS null_score FROM answers GROUP BY dataset")
+_SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"  # white space of any kind
+
+
+@query(
+    A
+    + "SELECT dataset, count(*) AS n, "
+    + "".join(f"count(*) FILTER (regexp_full_match({c}, '{_SPACE}*')) AS blank_{c}, " for c in ("question", "reference_answer", "student_answer", "label"))
+    + "count(*) FILTER (score IS NULL) AS null_score FROM answers GROUP BY dataset"
+)
 def missing_counts(spark, sf):
     return validation.missing(answers(spark, sf), ["dataset"])
 
@@ -125,7 +133,7 @@ def norm_text(spark, sf):
     return answers(spark, sf).select("row_id", tx.norm_text(F.col("student_answer")).alias("norm")).withColumn("n_tokens", F.size(tx.token_set(F.col("norm"))).cast("long"))
 
 
-@query(A + "SELECT question, substr(md5(trim(question)), 1, 16) AS question_hash, count(*) AS n FROM answers GROUP BY ALL")
+@query(A + f"SELECT question, substr(md5(regexp_replace(question, '^{_SPACE}+|{_SPACE}+$', '', 'g')), 1, 16) AS question_hash, count(*) AS n FROM answers GROUP BY ALL")
 def question_hash_id(spark, sf):
     return answers(spark, sf).groupBy("question").agg(F.count("*").alias("n")).withColumn("question_hash", tx.question_hash(F.col("question")))
 

@@ -94,3 +94,21 @@ def test_perturbations(spark):
     sizes = [r.n for r in ft.perturb(v, "paraphrase_drop", 3).orderBy("row_id").select(F.size("s_tok").alias("n")).collect()]
     assert 1 <= sizes[0] <= 4 and sizes[1] == 2
     assert math.isclose(ft.lexical(v).where("row_id = 1").first().lex_token_overlap, 0.5)
+
+
+def test_strip_takes_every_white_space(spark):
+    spaces = [chr(i) for i in range(0x3001) if chr(i).isspace()]
+    texts = ["", None, "a b", "​a​", "".join(spaces), *[f"{x} a{x}b {x}" for x in spaces]]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", tx.strip(F.col("t")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in found] == [t if t is None else t.strip() for t in texts]
+
+
+def test_sql_of_white_space_agrees():
+    import duckdb
+
+    from markwright.plans.answer_queries import _SPACE
+
+    spaces = [chr(i) for i in range(0x3001) if chr(i).isspace()]
+    for t in ["", "a b", "​a​", "".join(spaces), *[f"{x} a{x}b {x}" for x in spaces]]:
+        full, cut = duckdb.execute(f"SELECT regexp_full_match($t, '{_SPACE}*'), regexp_replace($t, '^{_SPACE}+|{_SPACE}+$', '', 'g')", {"t": t}).fetchone()
+        assert (full, cut) == (t.strip() == "", t.strip())
