@@ -1,4 +1,4 @@
-"""The ten ``opN_*`` queries of this subpackage and their DuckDB SQL where SQL can express one."""
+"""The ``opN_*`` queries of this subpackage and their DuckDB SQL where SQL can express one."""
 
 from __future__ import annotations
 
@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import decontaminate, jaccard_join, kneser_ney, language_id, line_dedup, piece_codec, repetition, token_files, url_filter, warc
+from . import (
+    change_feed,
+    decontaminate,
+    jaccard_join,
+    kneser_ney,
+    language_id,
+    line_dedup,
+    personal_data,
+    piece_codec,
+    product_codes,
+    repetition,
+    token_files,
+    url_filter,
+    warc,
+)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,6 +69,35 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_sentencepiece, op4_language_id, op5_substring_dedup, op6_ngram_jaccard_join, op7_quality_rules, op8_url_filters, op9_token_binary_output, op10_benchmark_decontamination)}
+def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes.compressed(read(spark, sf_dir, "embeddings"))
+
+
+def op12_sequenced_change_applier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return change_feed.sequenced(read(spark, sf_dir, "client_changes"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.detect(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_warc,
+        op3_sentencepiece,
+        op4_language_id,
+        op5_substring_dedup,
+        op6_ngram_jaccard_join,
+        op7_quality_rules,
+        op8_url_filters,
+        op9_token_binary_output,
+        op10_benchmark_decontamination,
+        op11_vector_code_compression,
+        op12_sequenced_change_applier,
+        op13_pii,
+    )
+}
 
 ORACLES: dict[str, str] = {"op8_url_filters": url_filter.ORACLE}
