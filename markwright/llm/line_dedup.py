@@ -1,19 +1,25 @@
 """Substring dedup by line or paragraph hashing (operator 5).
 
-Texts split into units: lines, and within them sentences, so that a passage
-set into a paragraph is found as well. A unit is normalised (lower case, runs
-of white space as one blank) and digested (128 bits). A unit of fewer than
-``min_words`` words counts only together with the units before it, as many as
-``min_words`` words take, so that ordinary short phrases stay while a repeated
-run of short units goes as a whole. Digests are grouped globally with
-pre-aggregation; the occurrence with the smallest (doc_id, position) stays,
-every other is removed and its character span in the original text is retained.
-Removed spans don't overlap, nor does one reach into the occurrence that stays.
+A unit is a line: every line of ``LINE_WORDS`` words or more is digested by
+itself, so it meets its copies whatever stands beside it. A second set of units
+finds passages that are set into other lines: the sentences within lines, where
+one of fewer than ``MIN_WORDS`` words counts only together with the sentences or
+lines before it, as many as ``MIN_WORDS`` words take; so a repeated run of short
+lines goes as a whole while ordinary short phrases stay. A unit is normalised
+(lower case, runs of white space as one blank) and digested (128 bits); a line
+and a sentence of the same words have the same digest. Texts are digested once
+and the digests written; they are grouped globally with pre-aggregation. The
+occurrence with the smallest (doc_id, position) stays, every other is removed and
+its character span in the original text is retained. Removed spans don't overlap,
+nor does a run reach into the occurrence of it that stays. A line that repeats
+goes though a run of which it is part may stay elsewhere: what is removed stays
+in an earlier place, its neighbours perhaps in another.
 
 Null texts stay null, empty ones empty, both without units. A null doc_id ranks
 last. Rows that repeat a doc_id are told apart by a digest of their text; of
 rows equal in both, none counts against the other (their units share one rank).
-Extra columns pass through.
+Extra columns pass through; ``dedup`` replaces columns of its results' names, in
+any case, and ``strip`` keeps them.
 """
 
 from __future__ import annotations
@@ -33,7 +39,8 @@ UNIT = "key binary, rank struct<id: long, text_key: binary, end: int>, start int
 _BREAK = {"sentence": re.compile(r"\s*\n\s*|(?<=[.!?])[ \t]+"), "line": re.compile(r"\n"), "paragraph": re.compile(r"\n\s*\n")}
 REMOVED = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first_doc", pa.int64())]))
 LAST = 2**63 - 1
-MIN_WORDS = 16  # shorter units count only together with those before them
+LINE_WORDS = 8  # lines of so many words are units
+MIN_WORDS = 16  # shorter sentences and lines count only together with those before them
 
 
 def units(text: str, level: str = "sentence") -> Iterator[tuple[int, int]]:
@@ -73,11 +80,34 @@ def keyed(text: str, min_words: int, level: str) -> Iterator[tuple[bytes | None,
             yield digest, run[0][2] if stays == b else next(start for _, _, start in run if start >= stays), b
 
 
+def digest_of(words: list[str]) -> bytes:
+    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def whole_lines(text: str, line_words: int, min_words: int) -> Iterator[tuple[bytes, int, int]]:
+    """(digest, start, end) of every line of ``line_words`` words or more, but for those that are one sentence that ``keyed`` digests."""
+    for a, b in units(text, "line"):
+        words = text[a:b].lower().split()
+        if len(words) < line_words:
+            continue
+        a += next(i for i, c in enumerate(text[a:b]) if not c.isspace())
+        b = a + len(text[a:b].rstrip())
+        if len(words) < min_words or _BREAK["sentence"].search(text, a, b):
+            yield digest_of(words), a, b
+
+
+def found_in(text: str, min_words: int, level: str, line_words: int) -> Iterator[tuple[bytes, int, int]]:
+    """All digested units of a text; lines beside sentences if ``level`` is that."""
+    yield from (x for x in keyed(text, min_words, level) if x[0])
+    if level == "sentence" and line_words:
+        yield from whole_lines(text, line_words, min_words)
+
+
 def text_key(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
 
 
-def _emitted(min_words: int, level: str):
+def _emitted(min_words: int, level: str, line_words: int):
     def run(parts):
         remembered("line_dedup")
         for batch in parts:
@@ -92,10 +122,9 @@ def _emitted(min_words: int, level: str):
                     continue
                 own = text_key(t)
                 i = LAST if (i := doc_id.as_py()) is None else i
-                for digest, a, b in keyed(t, min_words, level):
-                    if digest:
-                        for column, v in zip((key, ids, texts, start, end), (digest, i, own, a, b), strict=True):
-                            column.append(v)
+                for digest, a, b in found_in(t, min_words, level, line_words):
+                    for column, v in zip((key, ids, texts, start, end), (digest, i, own, a, b), strict=True):
+                        column.append(v)
                 if len(key) > 20_000:
                     yield from batches(rows())
                     key, ids, texts, start, end = [], [], [], [], []
@@ -105,9 +134,9 @@ def _emitted(min_words: int, level: str):
     return run
 
 
-def duplicate_spans(docs: DataFrame, min_words: int = MIN_WORDS, level: str = "sentence") -> DataFrame:
+def duplicate_spans(docs: DataFrame, min_words: int = MIN_WORDS, level: str = "sentence", line_words: int = LINE_WORDS) -> DataFrame:
     """Every repeated occurrence: doc_id, text_key, start, end, first_doc (id of the occurrence that stays)."""
-    found = docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_emitted(min_words, level), UNIT)
+    found = written(docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_emitted(min_words, level, line_words), UNIT), "units")
     first = found.groupBy("key").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").select("key", "first")
     again = found.join(written(first, "repeated-units"), "key").where("rank > first")
     return again.select(
@@ -145,11 +174,11 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
 RESULTS = ("n_removed", "removed_chars", "removed")
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, level: str = "sentence") -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, level: str = "sentence", line_words: int = LINE_WORDS) -> DataFrame:
     """``docs`` with repeated units cut from ``text``, plus n_removed, removed_chars and the removed spans in the original."""
-    spans = duplicate_spans(docs, min_words, level)
+    spans = duplicate_spans(docs, min_words, level, line_words)
     spans = written(spans, "removed").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first_doc"))).alias("__removed"))  # of one text
-    own = [c for c in docs.columns if c not in RESULTS]
+    own = [c for c in docs.columns if c.lower() not in RESULTS]
     # Columns travel under positional names, which no input column can clash with.
     names = [f"c{i}" for i in range(len(own))]
     at = own.index("text")
@@ -191,5 +220,5 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, level: str = "sentence")
 
 def strip(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the same columns (of any name), repeated units cut."""
-    clash = {c: f"__own_{c}" for c in docs.columns if c in RESULTS}
+    clash = {c: f"__own_{c}" for c in docs.columns if c.lower() in RESULTS}
     return dedup(docs.withColumnsRenamed(clash), **options).drop(*RESULTS).withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)

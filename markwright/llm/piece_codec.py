@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from .common import remembered
@@ -197,15 +198,19 @@ def _pieces(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[in
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
-    """``docs`` with ``ids`` (array of int), ``n_tokens`` and ``round_trip`` (decoding gives the text again; a null text counts as empty)."""
-    names = [f for f in docs.schema.fields if f.name not in ("ids", "n_tokens", "round_trip")]
-    schema = StructType([*names]).add("ids", ArrayType(IntegerType())).add("n_tokens", "long").add("round_trip", "boolean")
-    docs = docs.select(*[f.name for f in names])
+    """``docs`` with ``ids`` (array of int), ``n_tokens`` and ``round_trip`` (decoding gives the text again; a null text counts as empty).
+
+    Columns of ``docs`` with one of these names, in any case, are replaced; all others pass through.
+    """
+    names = [f for f in docs.schema.fields if f.name.lower() not in ("ids", "n_tokens", "round_trip")]
+    own_names, at = [f.name for f in names], [f.name for f in names].index("text")
+    docs = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own_names)])  # positional names, whatever a name holds
+    schema = StructType([*docs.schema.fields]).add("ids", ArrayType(IntegerType())).add("n_tokens", "long").add("round_trip", "boolean")
 
     def run(parts):
         codec = _codec(model)
         for batch in parts:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(at).to_pylist()
             for i, j in _pieces(texts):
                 raw = [codec.encode(t or "") for t in texts[i:j]]
                 size = np.array([len(x) // 4 for x in raw], np.int64)
@@ -216,4 +221,4 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
                 own = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*own.columns, ids, pa.array(size), pa.array(same)], [*own.schema.names, "ids", "n_tokens", "round_trip"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*own_names, "ids", "n_tokens", "round_trip")

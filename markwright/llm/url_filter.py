@@ -3,7 +3,9 @@
 Dated list entries (pattern, category, day, action ``add`` or ``remove``) become
 validity intervals [valid_from, valid_to): each event holds until the next one
 of its pattern and category. A pattern is a host, a domain (it covers its sub-hosts) or a
-host with a path prefix. A capture has one key for each domain suffix of its
+host with a path prefix; it is brought to the form of a capture's keys (host in
+lower case without a dot at its end, no empty path parts, no slash at the end) and
+reported in that form. A capture has one key for each domain suffix of its
 host and each leading part of its path, as deep as the deepest pattern of the
 list; the as-of join takes the intervals of those keys that hold on the fetch day, and the most specific pattern decides
 (then the category that sorts first).
@@ -23,17 +25,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bare(host: Column) -> Column:
+    """A host in lower case, without the dot of the root at its end."""
+    return F.regexp_replace(F.lower(host), r"\.+$", "")
+
+
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)*([^/?#:@]*)", 1))
+    return bare(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)*([^/?#:@]*)", 1))
 
 
 def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def canonical(pattern: Column) -> Column:
+    """A list pattern in the form of the captures' keys; paths keep their case."""
+    parts = F.split(F.trim(pattern), "/")
+    path = F.array_remove(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), "")
+    return F.array_join(F.concat(F.array(bare(parts[0])), path), "/")
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """pattern, category, valid_from, valid_to (null: still valid) of a list's ``add`` events."""
-    daily = entries.where("pattern is not null and pattern <> '' and day is not null").groupBy("pattern", "category", "day").agg(F.max(F.when(F.col("action") == "add", 0).otherwise(1)).alias("removed"))
+    daily = entries.withColumn("pattern", canonical(F.col("pattern"))).where("pattern is not null and pattern <> '' and day is not null").groupBy("pattern", "category", "day").agg(F.max(F.when(F.col("action") == "add", 0).otherwise(1)).alias("removed"))
     own = Window.partitionBy("pattern", "category").orderBy("day")  # at most one row a day
     return daily.withColumn("valid_to", F.lead("day").over(own)).where("removed = 0").select("pattern", "category", F.col("day").alias("valid_from"), "valid_to")
 
@@ -54,7 +68,7 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     base = captures.select(F.col("page_id").cast("long").alias("page_id"), "url", "fetch_day").withColumn("host", host_of(F.col("url")))
     # Rows that agree in all columns are evaluated once and counted back out.
     base = base.groupBy("page_id", "url", "fetch_day", "host").agg(F.count("*").alias("__copies"))
-    deepest = entries.agg(F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0)).alias("__depth"))
+    deepest = entries.agg(F.coalesce(F.max(F.size(F.split(canonical(F.col("pattern")), "/")) - 1), F.lit(0)).alias("__depth"))
     keyed = base.crossJoin(F.broadcast(deepest)).select("page_id", "url", "fetch_day", F.explode(keys(F.col("host"), path_of(F.col("url")), F.col("__depth"))).alias("pattern"))
     found = keyed.join(intervals(entries), "pattern").where((F.col("fetch_day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetch_day") < F.col("valid_to"))))
     best = found.groupBy("page_id", "url", "fetch_day").agg(F.count("*").alias("n_matches"), F.min(F.struct(-F.length("pattern"), "pattern", "category", "valid_from")).alias("best"))
@@ -104,7 +118,7 @@ def entries_of(pages: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH c AS (
   SELECT page_id, url, CAST(page_id % 360 AS INT) AS fetch_day,
-    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)*([^/?#:@]*)', 1)) AS host,
+    rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)*([^/?#:@]*)', 1)), '.') AS host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
 seen AS (SELECT DISTINCT host, regexp_extract(path, '^/([^/]+)', 1) AS part FROM c WHERE host <> ''),

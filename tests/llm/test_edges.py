@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from markwright.llm import common, decontaminate, jaccard_join, language_id, line_dedup, repetition, token_files, url_filter, warc
+from markwright.llm import common, decontaminate, jaccard_join, language_id, line_dedup, piece_codec, repetition, token_files, url_filter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PASSAGE = " ".join(f"shared{i}" for i in range(60)) + "."
@@ -36,11 +36,16 @@ def brute_spans(texts, min_words):
     seen, out = {}, {}
     for i, t in texts:
         at = []
-        for key, a, b in line_dedup.keyed(t, min_words, "sentence"):
-            if key and key in seen:
+        lines, place = [], 0
+        for line in t.split("\n"):  # a plain reading of the lines of 8 words or more
+            if len(line.split()) >= 8:
+                lines.append((hashlib.blake2b(" ".join(line.lower().split()).encode(), digest_size=16).digest(), place, place + len(line)))
+            place += len(line) + 1
+        for key, a, b in sorted([*line_dedup.keyed(t, min_words, "sentence"), *lines], key=lambda x: x[2]):
+            if key and seen.get(key, (i, a, b)) == (i, a, b):
+                seen[key] = (i, a, b)
+            elif key and key in seen:
                 at.append((a, b))
-            elif key:
-                seen[key] = i
         covered = set()
         for a, b in at:
             covered |= set(range(a, b))
@@ -59,6 +64,48 @@ def test_line_dedup_removes_what_a_plain_scan_does(spark):
         assert got <= want[r.doc_id] and all(text[k].isspace() for k in want[r.doc_id] - got)
 
 
+def test_every_repeated_line_goes(spark):
+    """Lines of 8 words or more, by an independent count: of each only the first occurrence is left, short ones among different neighbours too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    line = "one line of ten words that stands in five texts"
+    more = spark.createDataFrame([(10**6 + i, "\n".join(f"own paragraph {i} {j} " + "x" * j for j in range(i)) + f"\n{line}\nafter {i}") for i in range(1, 6)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in docs.union(more).collect()}
+    removed = {r.doc_id: r.removed for r in line_dedup.dedup(docs.union(more)).collect()}
+    seen, left = set(), 0
+    for i in sorted(rows):
+        place = 0
+        for own in rows[i].text.split("\n") if rows[i].text else []:
+            words = " ".join(own.lower().split())
+            if words.count(" ") >= 7 and words in seen:
+                inside = sum(max(0, min(s.end, place + len(own)) - max(s.start, place)) for s in removed[i])
+                left += inside < len(own.strip())  # white space between two removed spans may stay
+                left -= inside < len(own.strip()) and all(own[k].isspace() or any(s.start <= place + k < s.end for s in removed[i]) for k in range(len(own)))
+            seen.add(words)
+            place += len(own) + 1
+    assert left == 0
+    assert [bool(removed[10**6 + i]) for i in range(1, 6)] == [False, True, True, True, True]
+
+
+def test_clashing_names_in_any_case(spark):
+    docs = clashing(spark, [(1, PASSAGE), (2, PASSAGE), (3, None)], ["Removed", "N_REMOVED", "Key"])
+    assert line_dedup.dedup(docs).columns == ["doc_id", "text", "Key", "n_removed", "removed_chars", "removed"]
+    left = line_dedup.strip(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.Removed) for r in left.collect() if r.text is not None) == [(1, PASSAGE, "Removed-0"), (2, "", "Removed-1")]
+    import public_tokenizers
+
+    coded = piece_codec.encode(clashing(spark, [(1, PASSAGE), (None, None)], ["IDS", "Round_Trip", "a.b"]), public_tokenizers.path("piece_bpe_32k.model"))
+    assert coded.columns == ["doc_id", "text", "a.b", "ids", "n_tokens", "round_trip"]
+    coded.write.format("noop").mode("overwrite").save()
+
+
+def test_url_patterns_are_canonical(spark):
+    captures = spark.createDataFrame([(1, "http://x.B.com./p//q", 5), (2, "http://a.com/p/z", 5), (3, "http://a.com/pq", 5), (4, "http://A.com.:80/P", 5), (5, "ftp://C.org./", 5)], "page_id long, url string, fetch_day int")
+    entries = spark.createDataFrame([("B.com", "d", 1, "add"), ("a.com//p/", "path", 1, "add"), ("A.com./P", "path", 1, "add"), ("c.org.", "h", 1, "add"), ("c.ORG", "h", 4, "remove"), ("/", "h", 1, "add"), (" ", "h", 1, "add")], "pattern string, category string, day int, action string")
+    got = {r.page_id: r.pattern for r in url_filter.evaluate(captures, entries).collect()}
+    assert got == {1: "b.com", 2: "a.com/p", 3: None, 4: "a.com/P", 5: None}
+
+
 def test_units_are_cut_and_normalised_independently():
     """The digests against a second, plain reading of the definition."""
     text = "One two three.  FOUR five six! seven\neight nine ten eleven twelve\n\n\tlast words here"

@@ -377,10 +377,10 @@ def test_pipeline_matches_brute_force_on_small_tables(spark):
     seen, texts = set(), {}
     for i in ids:
         spans = []
-        for key, a, b in line_dedup.keyed(rows[i].text, line_dedup.MIN_WORDS, "sentence"):
-            if key:
-                spans += [(a, b)] if key in seen else []
-                seen.add(key)
+        for key, a, b in sorted(line_dedup.found_in(rows[i].text, line_dedup.MIN_WORDS, "sentence", line_dedup.LINE_WORDS), key=lambda x: x[2]):
+            spans += [{"start": a, "end": b}] if key in seen else []
+            seen.add(key)
+        spans = [(x["start"], x["end"]) for x in line_dedup._disjoint(rows[i].text, sorted(spans, key=lambda x: (x["start"], x["end"])))]
         texts[i] = line_dedup._cut(rows[i].text, spans)
     items = [WORD.findall(r.text.lower()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     left = {}
