@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import ranks
+
 
 def _by(keys: list[str]) -> list[str]:
     return list(keys) or ["__all"]
@@ -30,16 +32,11 @@ def pearson(x: str, y: str, least: int = 2) -> Column:
     return F.when((F.count(u) >= least) & (su > 1e-8) & (sv > 1e-8), F.try_divide(F.covar_pop(u, v), su * sv))
 
 
-def average_rank(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
-    """Adds the rank of ``column`` within ``keys``, ties averaged."""
-    by = [F.col(k) for k in keys] or [F.lit(1)]
-    return df.withColumn(name, F.rank().over(Window.partitionBy(*by).orderBy(column)) + (F.count("*").over(Window.partitionBy(*by, column)) - 1) / 2.0)
-
-
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    both = _with(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), keys)
-    ranked = average_rank(average_rank(both, _by(keys), x, "__x"), _by(keys), y, "__y")
-    return _drop(ranked.groupBy(*_by(keys)).agg(F.count("*").alias("n"), pearson("__x", "__y").alias("spearman")))
+    """keys, n, spearman of the rows with both values; groups of any size, see ``ranks``."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    counts = both.groupBy(*keys, F.col(x).cast("double").alias("__px"), F.col(y).cast("double").alias("__py")).agg(F.count("*").alias("__pn"))
+    return ranks.rank_sums(counts, keys, "__px", "__py", "__pn")
 
 
 def confusion(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,12 +103,14 @@ def tolerance_bands(x: str = "y_true", y: str = "y_pred") -> dict[str, Column]:
 
 
 def auc(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
-    """Rank-sum ROC-AUC with averaged ties; null with one class only."""
-    both = _with(df.where(F.col(label).isNotNull() & F.col(score).isNotNull()), keys)
-    r = average_rank(both, _by(keys), score, "__r")
-    pos, n1, n0 = F.col(label) == 1, F.sum(F.when(F.col(label) == 1, 1).otherwise(0)), F.sum(F.when(F.col(label) == 1, 0).otherwise(1))
-    area = F.try_divide(F.sum(F.when(pos, F.col("__r")).otherwise(0.0)) - n1 * (n1 + 1) / 2.0, (n1 * n0).cast("double"))
-    return _drop(r.groupBy(*_by(keys)).agg(n1.alias("n_pos"), n0.alias("n_neg"), area.alias("auc")))
+    """Rank-sum ROC-AUC, ties counting half; null with one class only. From counts of distinct scores and their running sums."""
+    both = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    side = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    counts = both.groupBy(*keys, F.col(score).cast("double").alias("__s")).agg(side(F.col(label) == 1).alias("__pos"), side(F.col(label) != 1).alias("__neg"))
+    below = ranks.running(counts, keys, ["__s"], {"__less": "__neg"})
+    n1, n0 = F.sum("__pos"), F.sum("__neg")
+    won = F.sum(F.col("__pos") * (F.col("__less") + F.col("__neg") / 2.0))
+    return below.groupBy(*keys).agg(n1.alias("n_pos"), n0.alias("n_neg"), F.try_divide(won, (n1 * n0).cast("double")).alias("auc"))
 
 
 def reliability(df: DataFrame, keys: list[str], bins: int = 10, confidence: str = "conf", correct: str = "correct") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
 from .splits import order_key
 
 LOWER_IS_BETTER = ("rmse", "mae")
@@ -72,28 +73,12 @@ def verdict_signal(df: DataFrame, order: tuple[str, str, str], signal: str = "si
     rows = df.where(F.col(signal).isNotNull()).select(F.col(signal).cast("double").alias("x"), rank.alias("y")).where("y is not null")
     counts = rows.groupBy("x", "y").agg(F.count("*").alias("n"))
     means = rows.agg(F.count("*").alias("n"), *[F.avg(F.when(F.col("y") == i, F.col("x"))).alias(f"mean_{i}") for i in range(3)])
-    rho = weighted_spearman(counts, [], "x", "y", "n")
-    area = mt.auc(rows.select(F.lit(0).alias("g"), "x", (F.col("y") == 2).cast("int").alias("y")), ["g"], "y", "x").select("auc")
+    rho = ranks.rank_sums(counts, [], "x", "y", "n").select("spearman")
+    area = mt.auc(rows.select("x", (F.col("y") == 2).cast("int").alias("y")), [], "y", "x").select("auc")
     one = means.crossJoin(F.broadcast(rho)).crossJoin(F.broadcast(area))  # one row each
     return one.withColumn("monotonic", F.coalesce((F.col("mean_0") <= F.col("mean_1")) & (F.col("mean_1") <= F.col("mean_2")), F.lit(False)))
 
 
-def weighted_spearman(counts: DataFrame, keys: list[str], x: str, y: str, n: str) -> DataFrame:
-    """Spearman's rho from counts of (x, y): average ranks by running sums over distinct values; keys, spearman."""
-    by = keys or [F.lit(0)]
-
-    def ranked(c: str) -> DataFrame:
-        per = counts.groupBy(*keys, c).agg(F.sum(n).alias("__m"))
-        run = F.sum("__m").over(Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        return per.select(*keys, c, (run - (F.col("__m") - 1) / 2).alias(f"__r{c}"))
-
-    both = counts.join(ranked(x), [*keys, x]).join(ranked(y), [*keys, y])
-    w, a, b = (F.col(c).cast("double") for c in (n, f"__r{x}", f"__r{y}"))
-    s = both.groupBy(*keys).agg(F.sum(w).alias("w"), F.sum(w * a).alias("a"), F.sum(w * b).alias("b"), F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"))
-    va, vb = F.col("aa") - F.col("a") * F.col("a") / F.col("w"), F.col("bb") - F.col("b") * F.col("b") / F.col("w")
-    return s.select(*keys, F.when((va > 1e-9) & (vb > 1e-9), (F.col("ab") - F.col("a") * F.col("b") / F.col("w")) / F.sqrt(va * vb)).alias("spearman"))
-
-
 def top_contributions(long: DataFrame, keys: list[str], k: int = 5, by: str = "shap") -> DataFrame:
     """The k contributions of each row with the largest absolute value, in order (then by feature): keys, rank, feature, by.
 

@@ -34,11 +34,16 @@ def offsets(local: DataFrame, group: list[str], totals: dict[str, Column]) -> Da
 
 
 def added(local: DataFrame, group: list[str], over: DataFrame) -> DataFrame:
-    names = {c: f"__{i}_key" for i, c in enumerate([PART, *group])}
+    return matched(local, F.broadcast(over), [PART, *group], "left").drop(PART)
+
+
+def matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which null keys match, with the columns ``on`` once."""
+    names = {c: f"__{i}_key" for i, c in enumerate(on)}
     same = F.lit(True)
     for c, k in names.items():
-        same = same & local[c].eqNullSafe(F.col(k))
-    return local.join(F.broadcast(over.withColumnsRenamed(names)), same, "left").drop(*names.values(), PART)
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    return left.join(right.withColumnsRenamed(names), same, how).drop(*names.values())
 
 
 def running(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
@@ -62,7 +67,31 @@ def dense_rank(df: DataFrame, group: list[str], order: str, name: str) -> DataFr
     return out.select(*df.columns, (F.col(name) + F.coalesce(f"__{name}_before", F.lit(0))).alias(name))
 
 
-def average_ranks(df: DataFrame, group: list[str], value: str, name: str = "rank", weight: str | None = None) -> DataFrame:
-    """One row for each (group, value) with its number of rows ``n`` (or sum of ``weight``) and the average rank of its ties; nulls are left out."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
-    return running(counted, group, [value], {"__less": "n"}).select(*group, value, "n", (F.col("__less") + (F.col("n") + 1) / 2).alias(name))
+def positions(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` plus each row's 0-based place in its group (long). Rows equal in ``order`` take places in no given order."""
+    return running(df.withColumn("__one", F.lit(1).cast("long")), group, order, {name: "__one"}).drop("__one")
+
+
+def average_ranks(df: DataFrame, group: list[str], value: str, name: str = "rank") -> DataFrame:
+    """One row for each (group, value) with its number of rows ``n`` and the average rank of its ties; nulls are left out."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
+    return running(counted, group, [value], {"__less": "n"}).select(*group, value, "n", (F.col("__less") + (F.col("n") + 1) / 2.0).alias(name))
+
+
+def rank_sums(counts: DataFrame, group: list[str], x: str, y: str, n: str) -> DataFrame:
+    """Spearman's rho of (x, y) pairs that occur ``n`` times: group, n, spearman (null if a side is constant). Values are compared as doubles.
+
+    Both sides' distinct values are ranked in one pass, ties averaged; ranks are centred, so sums stay exact enough for large groups.
+    """
+    pairs = counts.select(*group, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), F.col(n).alias("__n")).where("__x is not null and __y is not null")
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("__side"), F.col("__x").alias("__v")), F.struct(F.lit(1).alias("__side"), F.col("__y").alias("__v")))).alias("s")
+    values = pairs.select(*group, "__n", sides).select(*group, "__n", "s.*").groupBy(*group, "__side", "__v").agg(F.sum("__n").alias("__m"))
+    ranked = running(values, [*group, "__side"], ["__v"], {"__less": "__m"}).select(*group, "__side", "__v", (F.col("__less") + (F.col("__m") + 1) / 2.0).alias("__rank"))
+    side = lambda i, v, r: ranked.where(F.col("__side") == i).select(*group, F.col("__v").alias(v), F.col("__rank").alias(r))
+    both = matched(matched(pairs, side(0, "__x", "__a"), [*group, "__x"]), side(1, "__y", "__b"), [*group, "__y"])
+    size = pairs.groupBy(*group).agg(F.sum("__n").alias("__total"))
+    sized = matched(both, size, group) if group else both.crossJoin(F.broadcast(size))  # one row
+    middle = (F.col("__total") + 1) / 2.0
+    w, a, b = F.col("__n").cast("double"), F.col("__a") - middle, F.col("__b") - middle
+    sums = sized.groupBy(*group).agg(F.sum("__n").alias("n"), F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"))
+    return sums.select(*group, "n", F.when((F.col("n") >= 2) & (F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("spearman"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def order_key(row_id: Column, seed: int) -> Column:
     """A portable pseudo-random order of ids (BIGINT arithmetic, no engine's own hash)."""
@@ -28,11 +30,16 @@ def binned(df: DataFrame, keys: list[str], n: int = 6) -> DataFrame:
 
 
 def stratified(df: DataFrame, keys: list[str], k: int = 5, seed: int = 42) -> DataFrame:
-    """fold = position within the score bin modulo k; it splits questions, so it only bounds from above."""
+    """fold = position within the score bin modulo k; it splits questions, so it only bounds from above.
+
+    Positions are taken from narrow rows and joined back by row_id, which is to be unique.
+    """
     if k < 2:
         raise ValueError("k must be at least 2")
-    place = F.row_number().over(Window.partitionBy(*keys, "bin").orderBy(order_key(F.col("row_id"), seed), "row_id")) - 1
-    return binned(df, keys).withColumn("fold", ((place + F.col("bin")) % k).cast("int"))
+    narrow = binned(df.select(*dict.fromkeys([*keys, "row_id", "score"])), keys).select(*keys, "row_id", "bin", order_key(F.col("row_id"), seed).alias("__order"))
+    placed = ranks.positions(narrow, [*keys, "bin"], ["__order", "row_id"], "__place")
+    folds = placed.select("row_id", "bin", ((F.col("__place") + F.col("bin")) % k).cast("int").alias("fold"))
+    return folds if set(df.columns) <= {"row_id"} else df.join(folds, "row_id").select(*df.columns, "bin", "fold")
 
 
 def grouped(df: DataFrame, keys: list[str], k: int = 5) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def eta_squared(df: DataFrame, keys: list[str], group: str = "question_id", value: str = "score") -> DataFrame:
     """Between-group share of variance from group sums; null with one group or a constant value."""
@@ -77,19 +79,25 @@ def temperature(df: DataFrame, keys: list[str], low: float = 0.5, high: float =
 
 
 def risk_coverage(df: DataFrame, keys: list[str], levels: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0)) -> DataFrame:
-    """Accuracy of the most confident share of rows: at least one row, ties by row_id."""
-    own = Window.partitionBy(*keys)
-    ranked = df.select(*keys, "correct", F.row_number().over(own.orderBy(F.desc("conf"), "row_id")).alias("i"), F.count("*").over(own).alias("n"))
-    kept = ranked.select("*", F.explode(F.array(*[F.lit(x) for x in levels])).alias("coverage")).where(F.col("i") <= F.greatest(F.floor(F.col("coverage") * F.col("n")), F.lit(1)))
+    """Accuracy of the most confident share of rows: at least one row, ties by row_id, null confidences last."""
+    rows = df.select(*keys, "correct", F.col("conf").isNull().alias("__none"), (-F.col("conf")).alias("__down"), "row_id")
+    placed = ranks.positions(rows, keys, ["__none", "__down", "row_id"], "i")
+    sized = with_size(placed, df, keys)
+    kept = sized.select("*", F.explode(F.array(*[F.lit(x) for x in levels])).alias("coverage")).where(F.col("i") < F.greatest(F.floor(F.col("coverage") * F.col("__n")), F.lit(1)))
     return kept.groupBy(*keys, "coverage").agg(F.count("*").alias("n_kept"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
 
 
+def with_size(rows: DataFrame, of: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the number ``__n`` of rows of their group in ``of``."""
+    size = of.groupBy(*keys).agg(F.count("*").alias("__n"))
+    return ranks.matched(rows, size, keys) if keys else rows.crossJoin(F.broadcast(size))  # one row
+
+
 def spread_picks(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
     """k rows evenly spaced over the sorted order."""
-    own = Window.partitionBy(*keys)
-    placed = df.withColumn("__at", (F.row_number().over(own.orderBy(*order)) - 1).cast("long")).withColumn("__n", F.count("*").over(own))
+    placed = with_size(ranks.positions(df, keys, order, "position"), df, keys)
     want = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.rint(i * (F.col("__n") - 1) / float(max(k - 1, 1))).cast("long"))
-    return placed.where(F.array_contains(want, F.col("__at"))).withColumnRenamed("__at", "position").drop("__n")
+    return placed.where(F.array_contains(want, F.col("position"))).drop("__n")
 
 
 def percentile_block(df: DataFrame, keys: list[str], length: str) -> DataFrame:
