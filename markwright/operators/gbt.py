@@ -313,16 +313,29 @@ def split_cells(matrix: DataFrame, tests: tuple[str, ...], seeds: tuple[int, ...
     return both.withColumn("role", F.when(F.col("split") == "train", "train").when(F.col("split") == F.col("cell"), "test")).where("role is not null")
 
 
+# The documented search space; (low, high) with a step or on a log scale.
+SEARCH_SPACE = {
+    "learning_rate": (5e-3, 0.3, "log"),
+    "num_leaves": (15, 255, 1),
+    "n_estimators": (100, 800, 50),
+    "min_child_samples": (5, 80, 1),
+    "subsample": (0.6, 1.0, "linear"),
+    "colsample": (0.6, 1.0, "linear"),
+    "reg_alpha": (1e-3, 10.0, "log"),
+    "reg_lambda": (1e-3, 10.0, "log"),
+}
+
+
 def trials(n: int, seed: int) -> list[dict]:
-    """A reproducible random search over the head's eight settings."""
+    """A reproducible random search over ``SEARCH_SPACE``."""
     rng = np.random.default_rng(seed)
-    return [
-        {
-            "n_estimators": int(rng.integers(20, 120)), "learning_rate": float(np.exp(rng.uniform(np.log(0.02), np.log(0.2)))), "num_leaves": int(rng.integers(7, 48)), "min_child_samples": int(rng.integers(5, 40)),
-            "subsample": float(rng.uniform(0.6, 1.0)), "colsample": float(rng.uniform(0.6, 1.0)), "reg_alpha": float(10 ** rng.uniform(-4, 1)), "reg_lambda": float(10 ** rng.uniform(-4, 1)),
-        }
-        for _ in range(n)
-    ]
+
+    def one(low, high, how):
+        if how == "log":
+            return float(np.exp(rng.uniform(np.log(low), np.log(high))))
+        return float(rng.uniform(low, high)) if how == "linear" else int(low + how * rng.integers(0, (high - low) // how + 1))
+
+    return [{name: one(*bounds) for name, bounds in SEARCH_SPACE.items()} for _ in range(n)]
 
 
 def search(cells: DataFrame, features: list[str], kind: str, options: list[dict]) -> DataFrame:

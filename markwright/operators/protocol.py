@@ -94,18 +94,20 @@ def first_of_each(df: DataFrame, keys: list[str], value: str, order: str = "row_
     return df.groupBy(*keys, value).agg(F.min(order).alias(order))
 
 
-def bootstrap_counts(spark, preds: DataFrame, metric: Callable[[str], dict[str, Column]], n_boot: int, seed: int = 42, ci: float = 0.95, cluster: str = "question_id") -> DataFrame:
+def bootstrap_counts(preds: DataFrame, metric: Callable[[str], dict[str, Column]], n_boot: int, seed: int = 42, ci: float = 0.95, cluster: str = "question_id") -> DataFrame:
     """Paired cluster bootstrap of any metric of a confusion table: delta, lo, hi, p, n_boot, degenerate.
 
     Rows (cluster, y, head, base) collapse to counts a cluster; a resample sums the counts of the clusters it draws.
     ``metric(df, keys)`` takes (keys, y_true, y_pred, n). Where base has one value only, head is held against 0.
     """
-    from .stats import draws
-
-    cells = preds.groupBy(cluster, "y", "head", "base").agg(F.count("*").alias("n"))
-    numbered = preds.select(cluster).distinct().withColumn("at", (F.row_number().over(Window.orderBy(cluster)) - 1).cast("long"))  # one row a cluster
-    picked = draws(spark, numbered, n_boot, seed).groupBy("boot", "at").agg(F.count("*").alias("times"))
-    drawn = picked.join(numbered, "at").join(cells, cluster).groupBy("boot", "y", "head", "base").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    from .stats import numbered, resampled
+
+    cells = preds.groupBy(cluster, "y", "head", "base").agg(F.count("*").alias("value"))
+    kinds = ranks.positions(cells.select("y", "head", "base").distinct(), [], ["y", "head", "base"], "key")  # combinations of labels
+    places, n = numbered(preds, cluster)
+    keyed = ranks.matched(ranks.matched(cells, kinds, ["y", "head", "base"]), places, [cluster]).select("at", "key", "value")
+    sums = resampled(keyed, n, n_boot, seed).where("value > 0").select("boot", "key", F.col("value").cast("long").alias("n"))
+    drawn = ranks.matched(sums, kinds, ["key"])
     arm = lambda c: metric(drawn.groupBy("boot", F.col("y").alias("y_true"), F.col(c).alias("y_pred")).agg(F.sum("n").alias("n")), ["boot"])
     flat = preds.agg((F.min("base") == F.max("base")).alias("degenerate"))
     both = arm("head").toDF("boot", "h").join(arm("base").toDF("boot", "b"), "boot").crossJoin(F.broadcast(flat))  # one row

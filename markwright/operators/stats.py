@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,27 +34,65 @@ def holm(df: DataFrame, keys: list[str], p: str = "p", alpha: float = 0.05) -> D
     return raw.withColumn("p_holm", run).withColumn("significant", F.col("p_holm") < alpha).drop("__i", "__m")
 
 
-def draws(spark, clusters: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    """(boot, i, at): which cluster number each draw of each resample takes, by integer arithmetic that any engine repeats."""
-    n = clusters.agg(F.count("*").alias("n"))
-    grid = spark.range(n_boot).withColumnRenamed("id", "boot").join(F.broadcast(n)).select("boot", "n", F.explode(F.expr("sequence(0L, n - 1)")).alias("i"))
-    return grid.select("boot", "i", (((F.col("boot") * 7919 + F.col("i") * 104729 + seed) % 2147483647 * 1103515245 + 12345) % 2147483647 % F.col("n")).alias("at"))
+def drawn(boot: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """boots x n: which cluster number each draw of each resample takes, by integer arithmetic that any engine repeats."""
+    mixed = (boot.astype(np.int64)[:, None] * 7919 + np.arange(n, dtype=np.int64) * 104729 + seed) % 2147483647
+    return (mixed * 1103515245 + 12345) % 2147483647 % n
 
 
-def bootstrap_pearson(preds: DataFrame, n_boot: int, seed: int = 42, ci: float = 0.95) -> DataFrame:
+BOOTS, CLUSTERS = 128, 1 << 15  # of a block of the resample-weight matrix
+
+
+def resampled(cells: DataFrame, n: int, n_boot: int, seed: int = 42) -> DataFrame:
+    """(boot, key, value): the values of (at, key, value) summed over the clusters ``at`` (0 to n - 1) that each resample draws.
+
+    The matrix of resample weights (resamples x clusters) is never rows of a table: a task has a block of it, makes the
+    weights, multiplies them with the block's cells and returns sums a (resample, key). Cells of a block of clusters
+    travel as arrays, once for each block of resamples.
+    """
+    spark = cells.sparkSession
+    packed = cells.groupBy(F.floor(F.col("at") / CLUSTERS).cast("long").alias("block")).agg(F.collect_list(F.struct((F.col("at") % CLUSTERS).alias("at"), F.col("key").cast("long").alias("key"), F.col("value").cast("double").alias("value"))).alias("cells"))
+    packed = packed.select("block", F.transform("cells", lambda c: c["at"]).alias("at"), F.transform("cells", lambda c: c["key"]).alias("key"), F.transform("cells", lambda c: c["value"]).alias("value"))
+    starts = spark.range(0, n_boot, BOOTS).withColumnRenamed("id", "first")
+    blocks = packed.join(F.broadcast(starts)).repartition("block", "first")  # starts: n_boot / BOOTS rows
+
+    def product(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                block, first = batch.column("block")[r].as_py(), batch.column("first")[r].as_py()
+                at, key, value = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("at", "key", "value"))
+                names, place = np.unique(key, return_inverse=True)
+                boots = np.arange(first, min(first + BOOTS, n_boot))
+                sums = np.empty((len(boots), len(names)))
+                for i, boot in enumerate(boots):
+                    inside = drawn(np.array([boot]), n, seed)[0] - block * CLUSTERS
+                    weights = np.bincount(inside[(inside >= 0) & (inside < CLUSTERS)], minlength=CLUSTERS)
+                    sums[i] = np.bincount(place, weights[at] * value, len(names))
+                yield pa.RecordBatch.from_pydict({"boot": np.repeat(boots, len(names)), "key": np.tile(names, len(boots)), "value": sums.ravel()})
+
+    return blocks.mapInArrow(product, "boot long, key long, value double").groupBy("boot", "key").agg(F.sum("value").alias("value"))
+
+
+def numbered(clusters: DataFrame, cluster: str) -> tuple[DataFrame, int]:
+    """Distinct clusters with their number ``at`` in order, and how many there are; null is a cluster."""
+    out = ranks.positions(clusters.select(cluster).distinct(), [], [cluster], "at")
+    return out, out.count()
+
+
+def bootstrap_pearson(preds: DataFrame, n_boot: int, seed: int = 42, ci: float = 0.95, cluster: str = "question_id") -> DataFrame:
     """Paired cluster bootstrap of Pearson(head) - Pearson(base).
 
-    Rows (question_id, y, head, base) collapse to additive moments once a question; each resample sums the moments of
-    drawn questions. A constant side counts as 0 (head against nothing). One row: delta, lo, hi, p, n_boot.
+    Rows (cluster, y, head, base) collapse to additive moments once a cluster; each resample sums the moments of
+    drawn clusters. A constant side counts as 0 (head against nothing). One row: delta, lo, hi, p, n_boot.
     """
-    spark = preds.sparkSession
     moment = {"n": F.count("*").cast("double"), "y": F.sum("y"), "yy": F.sum(F.col("y") * F.col("y"))}
     for c in ("head", "base"):
         moment |= {c: F.sum(c), f"{c}2": F.sum(F.col(c) * F.col(c)), f"y{c}": F.sum(F.col("y") * F.col(c))}
-    stats = preds.groupBy("question_id").agg(*[v.alias(k) for k, v in moment.items()])
-    numbered = stats.withColumn("at", (F.row_number().over(Window.orderBy("question_id")) - 1).cast("long"))  # one row a question
-    boots = draws(spark, numbered, n_boot, seed).join(F.broadcast(numbered) if numbered.count() <= 100_000 else numbered, "at")
-    sums = boots.groupBy("boot").agg(*[F.sum(k).alias(k) for k in moment])
+    places, n = numbered(preds, cluster)
+    stats = ranks.matched(preds.groupBy(cluster).agg(*[v.alias(k) for k, v in moment.items()]), places, [cluster])
+    cells = stats.select("at", F.posexplode(F.array(*[F.col(k).cast("double") for k in moment])).alias("key", "value"))
+    pick = lambda i: F.max(F.when(F.col("key") == i, F.col("value")))
+    sums = resampled(cells, n, n_boot, seed).groupBy("boot").agg(*[pick(i).alias(k) for i, k in enumerate(moment)])
 
     def r(c: str):
         cov = F.col(f"y{c}") - F.col("y") * F.col(c) / F.col("n")

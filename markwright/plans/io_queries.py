@@ -301,7 +301,7 @@ def _boot(metric: str) -> str:
     return (
         P
         + f""", q AS (SELECT question_id, row_number() OVER (ORDER BY question_id) - 1 AS pos FROM (SELECT DISTINCT question_id FROM preds)), m AS (SELECT count(*) AS n FROM q),
-g AS (SELECT boot, ((boot * 7919 + i * 104729 + 42) % 2147483647 * 1103515245 + 12345) % 2147483647 % n AS pos FROM m, (SELECT unnest(range(500)) AS boot) b, (SELECT unnest(range((SELECT n FROM m))) AS i) j),
+g AS (SELECT boot, ((boot * 7919 + i * 104729 + 42) % 2147483647 * 1103515245 + 12345) % 2147483647 % n AS pos FROM m, (SELECT unnest(range(10000)) AS boot) b, (SELECT unnest(range((SELECT n FROM m))) AS i) j),
 w AS (SELECT boot, pos, count(*) AS times FROM g GROUP BY ALL), c AS (SELECT question_id, CAST(y_true AS BIGINT) AS y, CAST(y_pred AS BIGINT) AS head, CAST(round_even(conf * 3, 0) AS BIGINT) AS base, count(*) AS n FROM preds GROUP BY ALL),
 d AS (SELECT boot, y, head, base, sum(n * times) AS n FROM w JOIN q USING (pos) JOIN c USING (question_id) GROUP BY ALL),
 h AS ({per.format(c="head")}), b2 AS ({per.format(c="base")}), x AS (SELECT h.v - b2.v AS d FROM h JOIN b2 USING (boot))
@@ -315,12 +315,12 @@ def _arms(spark, sf):
 
 @query(_boot("macro_f1"))
 def bootstrap_macro_f1(spark, sf):
-    return r6(protocol.bootstrap_counts(spark, _arms(spark, sf), protocol.macro_f1_of_counts, 500), "delta", "lo", "hi", "p")
+    return r6(protocol.bootstrap_counts(_arms(spark, sf), protocol.macro_f1_of_counts, 10_000), "delta", "lo", "hi", "p")
 
 
 @query(_boot("qwk"))
 def bootstrap_qwk(spark, sf):
-    return r6(protocol.bootstrap_counts(spark, _arms(spark, sf), protocol.qwk_of_counts, 500), "delta", "lo", "hi", "p")
+    return r6(protocol.bootstrap_counts(_arms(spark, sf), protocol.qwk_of_counts, 10_000), "delta", "lo", "hi", "p")
 
 
 @query("""SELECT * FROM (VALUES ('semeval', 'test_ud', 'macro_f1', 0.25), ('saf', 'test_uq', 'pearson', 0.25), ('asap_sas', 'test_ua', 'qwk', NULL), ('mohler', 'cv', 'pearson', NULL), ('powergrading', 'cv', 'macro_f1', NULL), ('mindreading', 'cv', 'qwk', NULL)) t(dataset, split, metric, generalization_gap)""")

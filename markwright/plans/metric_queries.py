@@ -217,7 +217,7 @@ def spread_picks(spark, sf):
 
 _BOOT = """q AS (SELECT question_id, count(*)::DOUBLE AS n, sum(y_true)::DOUBLE AS y, sum(y_true * y_true)::DOUBLE AS yy, sum(y_pred)::DOUBLE AS h, sum(y_pred * y_pred)::DOUBLE AS hh, sum(y_true * y_pred)::DOUBLE AS yh, sum(conf) AS b, sum(conf * conf) AS bb, sum(y_true * conf) AS yb FROM preds GROUP BY ALL),
 qn AS (SELECT *, row_number() OVER (ORDER BY question_id) - 1 AS qi, count(*) OVER () AS m FROM q),
-dr AS (SELECT boot, (((boot * 7919 + i * 104729 + 42) % 2147483647 * 1103515245 + 12345) % 2147483647) % m AS qi FROM range(500) a(boot) CROSS JOIN (SELECT qi AS i, m FROM qn)),
+dr AS (SELECT boot, (((boot * 7919 + i * 104729 + 42) % 2147483647 * 1103515245 + 12345) % 2147483647) % m AS qi FROM range(10000) a(boot) CROSS JOIN (SELECT qi AS i, m FROM qn)),
 sm AS (SELECT boot, sum(n) AS n, sum(y) AS y, sum(yy) AS yy, sum(h) AS h, sum(hh) AS hh, sum(yh) AS yh, sum(b) AS b, sum(bb) AS bb, sum(yb) AS yb FROM dr JOIN qn ON qn.qi = dr.qi GROUP BY boot),
 dl AS (SELECT (yh - y * h / n) / sqrt((yy - y * y / n) * (hh - h * h / n)) - (yb - y * b / n) / sqrt((yy - y * y / n) * (bb - b * b / n)) AS d FROM sm)"""
 
@@ -225,7 +225,7 @@ dl AS (SELECT (yh - y * h / n) / sqrt((yy - y * y / n) * (hh - h * h / n)) - (yb
 @query(with_(PREDS, _BOOT) + "SELECT round(avg(d), 6) AS delta, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi, round(avg((d <= 0)::INT), 6) AS p, count(*) AS n_boot FROM dl")
 def cluster_bootstrap(spark, sf):
     p = preds(spark, sf).select("question_id", F.col("y_true").cast("double").alias("y"), F.col("y_pred").cast("double").alias("head"), F.col("conf").alias("base"))
-    return r6(stats.bootstrap_pearson(p, 500), "delta", "lo", "hi", "p")
+    return r6(stats.bootstrap_pearson(p, 10_000), "delta", "lo", "hi", "p")
 
 
 @query(

@@ -33,7 +33,7 @@ def test_calibration_parts(spark):
 def test_bootstrap_against_a_constant_arm(spark):
     rows = [(f"q{i % 6}", i % 3, i % 3 if i % 4 else 0, 1) for i in range(60)]
     df = spark.createDataFrame(rows, "question_id string, y long, head long, base long")
-    r = protocol.bootstrap_counts(spark, df, protocol.macro_f1_of_counts, 50).first()
+    r = protocol.bootstrap_counts(df, protocol.macro_f1_of_counts, 50).first()
     assert r.degenerate and r.n_boot == 50 and 0 < r.lo <= r.delta <= r.hi <= 1 and r.p == 0
 
 
