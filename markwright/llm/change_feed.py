@@ -253,6 +253,9 @@ def staged(changes: DataFrame) -> DataFrame:
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Each start opens the stores anew: no 4 MB set aside for each, and those of the last start are closed soon.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "15s",
 }
 
 
