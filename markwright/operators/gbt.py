@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import parzen
+
 
 @dataclass
 class Tree:
@@ -326,34 +328,40 @@ SEARCH_SPACE = {
 }
 
 
-def trials(n: int, seed: int) -> list[dict]:
-    """A reproducible random search over ``SEARCH_SPACE``."""
-    rng = np.random.default_rng(seed)
-
-    def one(low, high, how):
-        if how == "log":
-            return float(np.exp(rng.uniform(np.log(low), np.log(high))))
-        return float(rng.uniform(low, high)) if how == "linear" else int(low + how * rng.integers(0, (high - low) // how + 1))
-
-    return [{name: one(*bounds) for name, bounds in SEARCH_SPACE.items()} for _ in range(n)]
-
-
-def search(cells: DataFrame, features: list[str], kind: str, options: list[dict]) -> DataFrame:
-    """Trials in parallel: one task a (trial, cell); returns trial, n, mse of its held-out predictions (smaller is better)."""
+def tried(cells: DataFrame, features: list[str], kind: str, options: list[dict]) -> DataFrame:
+    """Held-out predictions of several settings, one task a (trial, cell, seed): trial, row_id, y_true, y_pred."""
     spark = cells.sparkSession
     grid = spark.createDataFrame([(i,) for i in range(len(options))], "trial int")
-    rows = cells.join(F.broadcast(grid))  # a fixed number of trials
+    rows = cells.join(F.broadcast(grid))  # a batch of trials
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         train, test = pdf[(pdf.role == "train") & pdf.y.notna()].sort_values("row_id"), pdf[(pdf.role == "test") & pdf.y.notna()].sort_values("row_id")
         if train.empty or test.empty:
-            return pd.DataFrame({"trial": [], "n": [], "sse": []})
+            return pd.DataFrame({"trial": [], "row_id": [], "y_true": [], "y_pred": []})
         head = Head(kind, options[int(pdf.trial.iloc[0])], int(pdf.seed.iloc[0])).fit(train[features].to_numpy(float), train.y.to_numpy(float))
-        err = head.predict(test[features].to_numpy(float)) - test.y.to_numpy(float)
-        return pd.DataFrame({"trial": [int(pdf.trial.iloc[0])], "n": [len(err)], "sse": [float((err**2).sum())]})
+        return pd.DataFrame({"trial": test.trial, "row_id": test.row_id, "y_true": test.y, "y_pred": head.predict(test[features].to_numpy(float)).astype(float)})
+
+    return rows.groupBy("trial", "cell", "seed").applyInPandas(one, "trial int, row_id long, y_true double, y_pred double")
+
+
+def search(cells: DataFrame, features: list[str], kind: str, metric: str, n: int, batch: int, seed: int) -> list[dict]:
+    """Parzen search over ``SEARCH_SPACE`` for the best value of a registered metric on the cells' held-out rows; rows in the order tried.
+
+    ``value`` is the metric, its sign turned for errors.
+    """
+    from ..functions import metrics
+    from .protocol import LOWER_IS_BETTER
+
+    sign = -1.0 if metric in LOWER_IS_BETTER else 1.0
+    staged = cells.persist()  # every batch reads the cells
+
+    def evaluate(options: list[dict]) -> list[float]:
+        values = {r.trial: r[metric] for r in metrics.compute(tried(staged, features, kind, options), ["trial"], [metric]).collect()}  # a row a trial
+        return [float("nan") if values.get(i) is None else sign * values[i] for i in range(len(options))]
 
-    per = rows.groupBy("trial", "cell", "seed").applyInPandas(one, "trial int, n long, sse double")
-    return per.groupBy("trial").agg(F.sum("n").alias("n"), (F.sum("sse") / F.sum("n")).alias("mse"))
+    found = parzen.search(evaluate, SEARCH_SPACE, n, batch, seed)
+    staged.unpersist()
+    return found
 
 
 def explain(matrix: DataFrame, features: list[str], kind: str, params: dict, target: str = "score", seed: int = 42, block: int = 4096) -> DataFrame:

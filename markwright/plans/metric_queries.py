@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import metrics as mt
@@ -310,9 +311,12 @@ def gbt_lodo(spark, sf):
 
 @query()
 def gbt_search(spark, sf):
-    """Eight random trials over the head's settings on the dev split, best first."""
+    """Eight trials over the head's settings on the dev split in two batches, by quadratic weighted kappa, best first."""
     cells = gbt.split_cells(_matrix(spark, sf), ("dev",), (42,))
-    return r6(gbt.search(cells, _COLS, "ordinal", gbt.trials(8, 42)), "mse")
+    found = gbt.search(cells, _COLS, "ordinal", "qwk", 8, 4, 42)
+    names = [c for c in found[0] if c != "trial"]
+    rows = [(r["trial"], *[None if np.isnan(r[c]) else float(r[c]) for c in names]) for r in found]
+    return r6(spark.createDataFrame(rows, "trial int, " + ", ".join(f"{c} double" for c in names)), *names).orderBy(F.desc_nulls_last("value"), "trial")
 
 
 def _explained(spark, sf):
