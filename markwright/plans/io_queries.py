@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as mt
 from ..functions import text as tx
 from ..functions import vector as vx
 from ..operators import features as ft
-from ..operators import protocol, splits, validation
+from ..operators import migration, protocol, splits, validation
 from ..schema import TASKS, coerce, column_report
 from ..sources import readers, sinks
 from .answer_queries import query, r6
@@ -199,6 +200,36 @@ def materialised_folds(spark, sf):
     return splits.materialise(a).groupBy("dataset", "question_id", "fold").agg(F.count("*").alias("n"))
 
 
+@query(
+    A
+    + ", q AS (SELECT dataset, question_id, count(*) AS n FROM answers WHERE dataset IN ('en', 'de') GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY n DESC, question_id) - 1 AS i, greatest(least(count(*) OVER (PARTITION BY dataset), 5), 2) AS k FROM q) SELECT v AS view, f.dataset, f.question_id, CAST(coalesce(CASE WHEN (k.i // k.k) % 2 = 0 THEN k.i % k.k ELSE k.k - 1 - k.i % k.k END, -1) AS INT) AS fold, count(*) AS n, round(sum(score), 6) AS total FROM answers f CROSS JOIN (VALUES ('features'), ('encoder')) t(v) LEFT JOIN k USING (dataset, question_id) GROUP BY ALL"
+)
+def migrated_folds(spark, sf):
+    """Two stored views whose folds of two datasets are replaced in place; the other datasets keep theirs."""
+    root, a = scratch(spark, "views"), answers(spark, sf).select("row_id", "question_id", "dataset", "score").withColumn("fold", F.lit(-1))
+    views = {"features": f"{root}/features", "encoder": f"{root}/encoder"}
+    for path in views.values():
+        sinks.parquet(a, path)
+    migration.migrate_folds(spark, views["features"], list(views.values()), ["en", "de"])
+    both = [spark.read.schema(a.schema).parquet(path).select(F.lit(name).alias("view"), "*") for name, path in views.items()]
+    return r6(both[0].union(both[1]).groupBy("view", "dataset", "question_id", "fold").agg(F.count("*").alias("n"), F.sum("score").alias("total")), "total")
+
+
+@query(
+    A
+    + """, d AS (SELECT dataset, count(*) AS n, round(avg(score), 6) AS mean_score, row_number() OVER (ORDER BY dataset) AS i FROM answers GROUP BY dataset)
+SELECT dataset AS name, CASE i WHEN 1 THEN 'partial' WHEN 2 THEN 'corrupt' ELSE 'ok' END AS status, CASE WHEN i <> 2 THEN n END AS n, CASE WHEN i > 2 THEN mean_score END AS mean_score FROM d UNION ALL SELECT 'nowhere', 'missing', NULL, NULL"""
+)
+def report_scan(spark, sf):
+    """One JSON report a dataset, the first without a mean and the second cut short, scanned with one that isn't there."""
+    rows = r6(answers(spark, sf).groupBy("dataset").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score")), "mean_score").withColumn("i", F.row_number().over(Window.orderBy("dataset")))  # a row a dataset
+    text = F.to_json(F.struct("n", F.when(F.col("i") > 1, F.col("mean_score")).alias("mean_score")))
+    root = scratch(spark, "reports")
+    rows.select(F.col("dataset").alias("name"), F.when(F.col("i") == 2, F.substring(text, 1, 9)).otherwise(text).alias("value")).write.partitionBy("name").text(root)
+    expected = rows.select(F.col("dataset").alias("name")).union(spark.range(1).select(F.lit("nowhere")))
+    return readers.json_reports(spark, root, expected, "n bigint, mean_score double")
+
+
 _KEY42 = "((row_id * 7919 + 42) % 2147483647 * 1103515245 + 12345) % 2147483647"
 _BINNED = """b AS (SELECT *, CASE WHEN score IS NULL OR hi = lo THEN 0 ELSE greatest(ceil((score - lo) / ((hi - lo) / 6)) - 1, 0) END::INT AS bin FROM (SELECT *, min(score) OVER () AS lo, max(score) OVER () AS hi FROM answers)),
 st AS (SELECT row_id, question_id, score, CAST((row_number() OVER (PARTITION BY dataset, bin ORDER BY """ + _KEY42 + """, row_id) - 1 + bin) % 5 AS INT) AS fold FROM (SELECT * REPLACE (CASE WHEN score IS NULL OR hi = lo THEN 0 ELSE greatest(ceil((score - lo) / ((hi - lo) / 6)) - 1, 0) END::INT AS bin) FROM (SELECT * EXCLUDE (lo, hi), min(score) OVER (PARTITION BY dataset) AS lo, max(score) OVER (PARTITION BY dataset) AS hi FROM b)))"""

@@ -187,3 +187,24 @@ def pooled(frames: dict[str, DataFrame]) -> DataFrame:
     for df in frames.values():
         out = df if out is None else out.unionByName(df)
     return out
+
+
+def json_reports(spark: SparkSession, root: str, expected: DataFrame, fields: str) -> DataFrame:
+    """A tolerant scan of ``root``/name=.../ for JSON reports: name, status, and ``fields`` (a DDL schema).
+
+    ``expected`` has the names asked for. Status is ``ok``; ``partial`` where a field is missing or of another type (it
+    is null, the others stand); ``corrupt`` where a file isn't JSON (all null); ``missing`` without a file, or
+    with an empty one.
+    """
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL(fields)
+    names = [f.name for f in schema.fields]
+    files = spark.read.option("wholetext", True).schema("value string, name string").text(root)
+    valid = F.try_parse_json(F.col("value"))
+    parsed = files.select("name", valid.isNotNull().alias("valid"), *[F.try_variant_get(valid, f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in schema.fields])
+    whole = F.lit(True)
+    for c in names:
+        whole = whole & F.col(c).isNotNull()
+    status = F.when(F.col("valid").isNull(), "missing").when(~F.col("valid"), "corrupt").when(whole, "ok").otherwise("partial")
+    return expected.select("name").distinct().join(parsed, "name", "left").select("name", status.alias("status"), *names)
