@@ -257,6 +257,10 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.maintenanceInterval": "15s",
 }
+#: Put in place only where the session has none of its own. Spark's default manager asks a local or mounted folder for link
+#: states, each by a process of its own: 0.27 s a store and commit, against 0.004 s by way of the plain file system.
+#: Both write aside and rename; each call has a folder of its own, so no two queries share a checkpoint.
+MANAGER = {"spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"}
 
 
 def run_batch(spark: SparkSession, folder: str, batch: int) -> None:
@@ -278,8 +282,8 @@ def apply_changes(changes: DataFrame) -> DataFrame:
     if rows.isEmpty():
         return spark.createDataFrame([], RESULT)
     folder = shared_path(spark, "change-feed")
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    for k, v in STATE.items():
+    before = {k: spark.conf.get(k, None) for k in STATE | MANAGER}
+    for k, v in (STATE | {k: v for k, v in MANAGER.items() if before[k] is None}).items():
         spark.conf.set(k, v)
     try:
         for b in range(1, N_BATCHES + 2):
