@@ -11,7 +11,7 @@ from ..functions import metrics as mt
 from ..functions import text as tx
 from ..functions import vector as vx
 from ..operators import features as ft
-from ..operators import migration, protocol, splits, validation
+from ..operators import migration, protocol, splits, validation, vector_store
 from ..schema import TASKS, coerce, column_report
 from ..sources import readers, sinks
 from .answer_queries import query, r6
@@ -282,6 +282,27 @@ def encoded_similarity(spark, sf):
     return both.select("row_id", F.round(vx.cosine(F.col("student_answer_vec"), F.col("reference_answer_vec")), 6).alias("cosine"))
 
 
+_KNOWN = "trim({0}) <> '' AND {0} IN (SELECT student_answer FROM a WHERE split = 'train')"
+
+
+@query(
+    with_(ANSWERS, f"""a AS (SELECT * FROM answers WHERE trim(student_answer) <> ''),
+e AS (SELECT row_id, reference_answer, {_KNOWN.format('student_answer')} AS student_known, {_KNOWN.format('reference_answer')} AS reference_known, {_letter_sql('student_answer')} AS u, {_letter_sql('reference_answer')} AS v FROM a)""")
+    + """SELECT row_id, student_known, coalesce(reference_known, false) AS reference_known, CASE WHEN trim(reference_answer) <> '' THEN round(CASE WHEN list_dot_product(u, u) * list_dot_product(v, v) > 0
+  THEN list_dot_product(u, v) / (sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(v, v))) ELSE 0 END, 6) END AS cosine FROM e"""
+)
+def stored_similarity(spark, sf):
+    """Two runs over one vector store, with another model's vectors in it: the training answers, then all rows; the second encodes what the first did not store."""
+    root = scratch(spark, "vector-store")
+    a = answers(spark, sf).where("trim(student_answer) <> ''").select("row_id", "split", "student_answer", "reference_answer")
+    train = a.where("split = 'train'").select("student_answer")
+    vector_store.encode_stored(train, ["student_answer"], lambda t: t.select("text", F.array(F.lit(1.0)).alias("vector")), "other", root)
+    vector_store.encode_stored(train, ["student_answer"], _letters, "letters", root)
+    both = vector_store.encode_stored(a, ["student_answer", "reference_answer"], _letters, "letters", root)
+    cosine = F.round(vx.cosine(F.col("student_answer_vec"), F.col("reference_answer_vec")), 6).alias("cosine")
+    return both.select("row_id", F.col("student_answer_known").alias("student_known"), F.col("reference_answer_known").alias("reference_known"), cosine)
+
+
 @query(P + "SELECT row_id, correct, CASE WHEN row_id % 3 = 0 THEN c END AS neural_score, CASE WHEN row_id % 3 = 0 THEN y END AS neural_pred FROM preds JOIN (SELECT row_id, max(conf) AS c, CAST(max(y_pred) AS DOUBLE) AS y FROM preds GROUP BY row_id) USING (row_id)")
 def oof_join(spark, sf):
     p = preds(spark, sf)
