@@ -26,24 +26,41 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays."""
+    """One document of each group of linked documents stays: that with the smallest doc_id.
+
+    Null and empty texts link with nothing and stay, as do rows without an id. Rows that repeat an id are one document
+    with the links of all their texts: they stay or go together. Columns of any name pass through; an empty table stays one.
+    """
     return jaccard_join.keep_one(docs)
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut repeated units; a document with nothing left goes."""
+    """Cut repeated units; a document with nothing left goes.
+
+    Documents of empty or blank text go, those of null text stay. The first occurrence by doc_id stays, a null doc_id ranks
+    last; rows that repeat an id are told apart by a digest of their text. Columns of any name pass through, but for
+    ``n_chars``, which is counted anew.
+    """
     left = line_dedup.strip(docs)
     counted = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
     return counted.where(F.col("text").isNull() | F.col("text").rlike(r"\S"))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go.
+
+    Null and blank texts hold none and stay, as do rows without an id. Rows that repeat an id go together if any of their
+    texts has a passage. An empty benchmark or an empty table takes nothing away. Other columns pass through.
+    """
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left."""
+    """Token ids of every document that is left.
+
+    Null and empty texts have no ids. Each row is encoded for itself, so repeated and null ids change nothing. Columns named
+    ids, n_tokens or round_trip, in any case, are replaced; others pass through.
+    """
     return piece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
