@@ -69,7 +69,10 @@ def publish(spark: SparkSession, root: str, model: str, vectors: DataFrame) -> b
 
 
 def compact(spark: SparkSession, root: str, model: str) -> None:
-    """One batch in place of all that are there now; a reader between the two steps sees texts twice, which does no harm."""
+    """One batch in place of all that are there now; a reader that lists it between the two steps sees texts twice, which does no harm.
+
+    A reader that listed the old batches before may not find their files any more: run it while no other run reads the model.
+    """
     at = folder(root, model)
     old = _children(spark, at, "batch=")
     if len(old) < 2:
