@@ -18,6 +18,22 @@ from pyspark.sql import functions as F
 
 from . import parzen
 
+#: Gradients are whole multiples of 1 / GRID, so that their sums are exact in any order.
+GRID = 2.0**24
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    return np.rint(np.asarray(x, float) * GRID)
+
+
+def gradients(raw: np.ndarray, target: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row and output, in units of 1 / GRID: softmax against a class index, else half the squared error."""
+    if not classes:
+        return whole(raw - np.asarray(target, float)[:, None]), np.full(raw.shape, GRID)
+    e = np.exp(raw - raw.max(1, keepdims=True))
+    prob = e / e.sum(1, keepdims=True)
+    return whole(prob - np.eye(classes)[np.asarray(target, int)]), whole(prob * (1 - prob))
+
 
 @dataclass
 class Tree:
@@ -59,7 +75,9 @@ class Booster:
         self.p = dict(n=n_estimators, lr=learning_rate, leaves=num_leaves, least=min_child_samples, sub=subsample, col=colsample, l1=reg_alpha, l2=reg_lambda, bins=max_bin)
         self.seed, self.k, self.trees, self.base = seed, classes, [], None
 
-    def _bin(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    def _bin(self, x: np.ndarray, given: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+        if given is not None:
+            return np.stack([np.where(np.isnan(v), -1, np.searchsorted(cut, v, "left")) for v, cut in zip(x.T, given, strict=True)], 1).astype(np.int16), given
         codes, cuts = np.empty(x.shape, np.int16), []
         for j in range(x.shape[1]):
             v = x[:, j]
@@ -81,31 +99,32 @@ class Booster:
         g = np.sign(g) * np.maximum(np.abs(g) - self.p["l1"], 0.0)
         return g * g / (h + self.p["l2"] + 1e-12)
 
-    def _split(self, codes, cuts, g, h, rows, columns):
-        best = (1e-12, None)
-        gs, hs, n = g[rows].sum(), h[rows].sum(), len(rows)
-        parent = self._score(gs, hs)
-        for j in columns:
-            if not len(cuts[j]):
-                if not (codes[rows, j] < 0).any():
-                    continue
-            c = codes[rows, j] + 1
-            m = len(cuts[j]) + 2
-            bg, bh, bn = (np.bincount(c, w, m) for w in (g[rows], h[rows], None))
+    def best(self, bins: dict[int, tuple], gs: float, hs: float, n: int) -> tuple:
+        """The best split of a node by its columns' (gradient, hessian, count) sums of each bin, missing values first: gain and
+        (column, bin, missing values go left, the left side's sums), or None for these."""
+        best, parent = (1e-12, None), self._score(gs, hs)
+        for j, (bg, bh, bn) in bins.items():
             for missing_left in (True, False) if bn[0] else (True,):
                 lg, lh, ln = np.cumsum(bg[1:]), np.cumsum(bh[1:]), np.cumsum(bn[1:])
                 if missing_left:
                     lg, lh, ln = lg + bg[0], lh + bh[0], ln + bn[0]
                     # with every value on the right only the missing ones are left
                 ok = (ln >= self.p["least"]) & (n - ln >= self.p["least"])
-                ok[len(cuts[j]) :] &= ~np.array(missing_left)  # the last place parts values from missing ones
+                ok[len(bn) - 2 :] &= ~np.array(missing_left)  # the last place parts values from missing ones
                 gain = np.where(ok, self._score(lg, lh) + self._score(gs - lg, hs - lh) - parent, -1.0)
                 at = int(gain.argmax())
                 if gain[at] > best[0]:
-                    cut = cuts[j][at] if at < len(cuts[j]) else np.inf
-                    best = (float(gain[at]), (j, cut, missing_left))
+                    best = (float(gain[at]), (j, at, missing_left, float(lg[at]), float(lh[at]), int(ln[at])))
         return best
 
+    def _split(self, codes, cuts, g, h, rows, columns):
+        bins = {j: tuple(np.bincount(codes[rows, j] + 1, w, len(cuts[j]) + 2) for w in (g[rows], h[rows], None)) for j in columns}
+        gain, split = self.best(bins, g[rows].sum(), h[rows].sum(), len(rows))
+        if split is None:
+            return gain, None
+        j, at, missing_left, *_ = split
+        return gain, (j, cuts[j][at] if at < len(cuts[j]) else np.inf, missing_left)
+
     def _tree(self, x, codes, cuts, g, h, rows, columns) -> Tree:
         t = Tree()
         root = t.add(self._leaf(g[rows].sum(), h[rows].sum()), len(rows))
@@ -126,26 +145,20 @@ class Booster:
         t.value = [v * self.p["lr"] for v in t.value]
         return t
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Booster:
+    def fit(self, x: np.ndarray, y: np.ndarray, cuts: list[np.ndarray] | None = None) -> Booster:
         x = np.asarray(x, float)
         rng = np.random.default_rng(self.seed)
-        codes, cuts = self._bin(x)
+        codes, cuts = self._bin(x, cuts)
         n, k = len(y), max(self.k, 1)
         if self.k:
-            hot = np.eye(self.k)[np.asarray(y, int)]
-            self.base = np.log(np.maximum(hot.mean(0), 1e-9))
+            self.base = np.log(np.maximum(np.bincount(np.asarray(y, int), minlength=self.k) / n, 1e-9))
         else:
-            self.base = np.array([float(np.mean(y))])
+            self.base = np.array([np.rint(whole(y).sum() / n) / GRID])
         raw = np.tile(self.base, (n, 1))
         for _ in range(self.p["n"]):
             rows = np.sort(rng.choice(n, max(1, int(n * self.p["sub"])), replace=False)) if self.p["sub"] < 1 else np.arange(n)
             columns = np.sort(rng.choice(x.shape[1], max(1, int(x.shape[1] * self.p["col"])), replace=False)) if self.p["col"] < 1 else np.arange(x.shape[1])
-            if self.k:
-                e = np.exp(raw - raw.max(1, keepdims=True))
-                prob = e / e.sum(1, keepdims=True)
-                grad, hess = prob - hot, prob * (1 - prob)
-            else:
-                grad, hess = raw - np.asarray(y, float)[:, None], np.ones((n, 1))
+            grad, hess = (v / GRID for v in gradients(raw, y, self.k))
             new = [self._tree(x, codes, cuts, grad[:, c], hess[:, c], rows, columns) for c in range(k)]
             for c, t in enumerate(new):
                 raw[:, c] += t.predict(x)
