@@ -246,27 +246,30 @@ def node_sums(rows: DataFrame, plans: list[Plan], growing: dict, widths: list[in
 
 
 def best_splits(sums: DataFrame, plans: list[Plan], widths: list[int]) -> DataFrame:
-    """A row a node; a group is one node's sums, at most columns x bins rows."""
-    columns, boosters = [p.columns for p in plans], [p.booster for p in plans]
+    """A row a node. ``sums`` has all sums of a node in one partition; a task holds its nodes' sums, at most columns x bins rows each."""
+    columns, boosters, starts = [p.columns for p in plans], [p.booster for p in plans], np.concatenate([[0], np.cumsum(widths)]).astype(int)
 
-    def one(key, pdf):
-        import pandas as pd
-
-        c = int(key[0])
-        pdf = pdf.sort_values(["feature", "bin"])
-        by = {int(j): p for j, p in pdf.groupby("feature")}
-        first = next(iter(by.values()))
-        gs, hs, n = first.g.sum() / GRID, first.h.sum() / GRID, int(first.n.sum())
-        bins = {}
-        for j in columns[c]:
-            full = np.zeros((3, widths[j]))
-            full[:, by[j].bin.to_numpy()] = by[j][["g", "h", "n"]].to_numpy().T
-            bins[j] = (full[0] / GRID, full[1] / GRID, full[2])
-        gain, split = boosters[c].best(bins, gs, hs, n)
-        j, at, missing_left, lg, lh, ln = split or (-1, -1, True, 0.0, 0.0, 0)
-        return pd.DataFrame([(c, int(key[1]), int(key[2]), gain, j, at, missing_left, lg, lh, ln, gs, hs, n)], columns=[x.split()[0] for x in SPLIT.split(", ")])
-
-    return sums.groupBy("cell", "output", "node").applyInPandas(one, SPLIT)
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            c, k, node, j, bin_, *ghn = (x.to_numpy(zero_copy_only=False) for x in b.columns)
+            keys, of = np.unique(np.stack([c.astype(np.int64), k.astype(np.int64), node]), axis=1, return_inverse=True)
+            for i, key in enumerate(zip(*keys.tolist(), strict=True)):
+                own = np.flatnonzero(of.ravel() == i)
+                full = at.setdefault(key, np.zeros((3, starts[-1]), np.int64))
+                full[:, starts[j[own]] + bin_[own]] += np.stack(ghn)[:, own]
+        found = []
+        for (c, k, node), full in at.items():
+            g, h, n = full[0] / GRID, full[1] / GRID, full[2].astype(float)
+            first = slice(0, starts[1])  # every row is in one bin of each column
+            total = (g[first].sum(), h[first].sum(), int(n[first].sum()))
+            gain, split = boosters[c].best({j: tuple(v[starts[j] : starts[j + 1]] for v in (g, h, n)) for j in columns[c]}, *total)
+            found.append((c, k, node, gain, *(split or (-1, -1, True, 0.0, 0.0, 0)), *total))
+        if found:
+            schema = [(name, {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[kind]) for name, kind in (x.split() for x in SPLIT.split(", "))]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(zip(*found, strict=True), schema, strict=True)], schema=pa.schema(schema))
+
+    return sums.select("cell", "output", "node", "feature", "bin", "g", "h", "n").mapInArrow(one, SPLIT)
 
 
 def staged(rows: DataFrame, plans: list[Plan], features: int) -> DataFrame:
@@ -339,6 +342,8 @@ def fit(rows: DataFrame, features: list[str], cells: dict[str, set[int]], kind:
         while asked := {key: (g, nodes) for key, g in grown.items() if g.done is None and (nodes := g.wanted(probe.p["leaves"]))}:
             sums = node_sums(now, learning, asked, widths, (round_, seed, probe.p["sub"]))
             got = best_splits(sums, learning, widths).collect()  # a row a node
+            if len({(r.cell, r.output, r.node) for r in got}) < len(got):
+                raise RuntimeError("a node's sums came from two tasks")
             for r in got:
                 split = None if r.feature < 0 else (r.feature, r.at, r.missing_left)
                 grown[r.cell, r.output].known[r.node] = (r.gain, split, (r.g, r.h, r.n), (r.lg, r.lh, r.ln))
@@ -373,10 +378,10 @@ def predicted(rows: DataFrame, features: list[str], heads: dict[str, Head], test
                 if len(own) and cell in heads:
                     y = np.asarray(heads[cell].predict(x[own]), float)
                     take = pa.array(own)
-                    yield pa.RecordBatch.from_arrays([pa.array([cell] * len(own)), b.column("row_id").take(take), b.column("y").take(take), pa.array(y)], ["cell", "row_id", "y_true", "y_pred"])
+                    yield pa.RecordBatch.from_arrays([pa.array([cell] * len(own)), *[b.column(c).take(take) for c in ("row_id", "slot", "y")], pa.array(y)], ["cell", "row_id", "slot", "y_true", "y_pred"])
 
     kept = rows.select(F.col("row_id").cast("long"), F.col("slot").cast("int"), F.col("y").cast("double"), *features)
-    return kept.mapInArrow(one, "cell string, row_id long, y_true double, y_pred double")
+    return kept.mapInArrow(one, "cell string, row_id long, slot int, y_true double, y_pred double")
 
 
 def nested(folds: list[int]) -> tuple[dict[str, set[int]], dict[str, set[int]]]:
@@ -389,6 +394,13 @@ def nested(folds: list[int]) -> tuple[dict[str, set[int]], dict[str, set[int]]]:
     return train, {c: set(folds) - s for c, s in train.items()}
 
 
+def by_outer(out: DataFrame) -> DataFrame:
+    """Predictions of nested cells with ``outer``, the outer fold that they serve, and ``inner``, the inner fold tested (null: the outer one)."""
+    i, o = (F.split_part("cell", F.lit("-"), F.lit(k)).try_cast("int") for k in (2, 3))
+    inner = F.col("cell").startswith("inner")
+    return out.withColumns({"outer": F.when(inner, F.when(F.col("slot") == i, o).otherwise(i)).otherwise(i), "inner": F.when(inner, F.col("slot"))})
+
+
 def official(folds: list[int], others: dict[str, int]) -> tuple[dict[str, set[int]], dict[str, set[int]]]:
     """The official protocol with inner folds: slots ``folds`` are the train split's rows by grouped fold, ``others`` the other splits' slots.
 

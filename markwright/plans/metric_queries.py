@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import metrics as mt
 from ..functions import vector as vx
 from ..operators import features as ft
-from ..operators import gbt, splits, stats
+from ..operators import gbt, partitioned_gbt, splits, stats
 from .answer_queries import query as _query
 from .answer_queries import r6
 from .fixtures import PREDS, answers, preds, read, with_
+from .storage import scratch
 
 P = with_(PREDS)
 query = _query  # both modules fill one registry
@@ -277,6 +278,42 @@ def gbt_oof(spark, sf):
     return r6(gbt.run_grid(gbt.fold_cells(_matrix(spark, sf), _folds(spark, sf), (42,)), _COLS, "regression", _HEAD), "y_pred")
 
 
+_SMALL = _HEAD | {"n_estimators": 8, "num_leaves": 8}
+
+
+def _slotted(spark, sf, slot):
+    """The matrix with slots, by ``slot`` of the split and the grouped fold, stored once: all cells read it."""
+    m = _matrix(spark, sf).join(_folds(spark, sf).select("question_id", "fold"), "question_id")
+    path = scratch(spark, "head-matrix")
+    m.select("row_id", slot.cast("int").alias("slot"), F.col("score").cast("double").alias("y"), *_COLS).write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query()
+def gbt_nested_cv(spark, sf):
+    """Nested grouped cross-validation over one stored matrix: an outer fold's error, and its inner folds' mean and deviation."""
+    rows = _slotted(spark, sf, F.col("fold"))
+    train, tests = partitioned_gbt.nested([0, 1, 2, 3, 4])
+    out = partitioned_gbt.by_outer(partitioned_gbt.predicted(rows, _COLS, partitioned_gbt.fit(rows, _COLS, train, "regression", _SMALL), tests)).where("y_true is not null")
+    per = out.groupBy("outer", "inner").agg(F.sqrt(F.avg((F.col("y_true") - F.col("y_pred")) ** 2)).alias("rmse"), F.count("*").alias("n"))
+    at = lambda agg, inside: agg(F.when(F.col("inner").isNotNull() == F.lit(inside), F.col("rmse")))
+    both = per.groupBy("outer").agg(at(F.max, False).alias("rmse"), F.max(F.when(F.col("inner").isNull(), F.col("n"))).alias("n"), at(F.avg, True).alias("inner_mean"), at(F.stddev_pop, True).alias("inner_std"), at(F.count, True).alias("inner_folds"))
+    return r6(both, "rmse", "inner_mean", "inner_std")
+
+
+@query()
+def gbt_official_oof(spark, sf):
+    """The official protocol's feature column without a leak: train rows are predicted by the other grouped folds of the train split, all other splits by a head of the whole train split."""
+    others = {"dev": 10, "test_ua": 11, "test_uq": 12, "test_ud": 13}
+    slot = F.when(F.col("split") == "train", F.col("fold"))
+    for name, number in others.items():
+        slot = slot.when(F.col("split") == name, F.lit(number))
+    rows = _slotted(spark, sf, slot)
+    train, tests = partitioned_gbt.official([0, 1, 2, 3, 4], others)
+    heads = partitioned_gbt.fit(rows, _COLS, train, "ordinal", _SMALL)
+    return r6(partitioned_gbt.predicted(rows, _COLS, heads, tests).select("row_id", "cell", "y_true", "y_pred"), "y_pred")
+
+
 @query()
 def gbt_ablation(spark, sf):
     """The grid with the lexical and the negation columns left out in turn, against the full set."""

@@ -84,3 +84,14 @@ def test_odd_rows(spark):
     kept = frame(spark, x, np.ones(60), slot)
     assert (pg.fit(kept, FEATURES, {"one": {0, 1}}, "classification", PARAMS)["one"].predict(x) == 1).all()
     assert pg.fit(kept.limit(0), FEATURES, {"one": {0}}, "regression", PARAMS) == {}
+
+
+def test_nested_folds_serve_both_sides(spark):
+    """Each outer fold has every other fold tested as an inner one, by a head that saw neither."""
+    train, tests = pg.nested([0, 1, 2])
+    assert train["inner-0-2"] == {1} and tests["inner-0-2"] == {0, 2} and train["outer-1"] == {0, 2}
+    rows = [(c, s) for c, slots in tests.items() for s in slots]
+    got = {(r.cell, r.slot): (r.outer, r.inner) for r in pg.by_outer(spark.createDataFrame(rows, "cell string, slot int")).collect()}
+    assert got["outer-1", 1] == (1, None) and got["inner-0-2", 0] == (2, 0) and got["inner-0-2", 2] == (0, 2)
+    assert sorted((o, i) for o, i in got.values() if i is not None) == [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)]
+    assert all(not {o, i} & train[c] for (c, _), (o, i) in got.items())
