@@ -13,7 +13,7 @@ from ..functions import vector as vx
 from ..operators import features as ft
 from ..operators import migration, protocol, splits, validation, vector_store
 from ..schema import TASKS, coerce, column_report
-from ..sources import readers, sinks
+from ..sources import archives, readers, sinks
 from .answer_queries import query, r6
 from .fixtures import ANSWERS, PREDS, answers, preds, read, with_
 from .storage import scratch
@@ -154,6 +154,20 @@ def checksum_groups(spark, sf):
     return read(spark, sf, "documents").where("text is not null").groupBy(F.md5("text").alias("md5")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT doc_id, sha256(text) AS sha256, 1 AS version, 0 AS written_again FROM documents WHERE text IS NOT NULL")
+def archive_publication(spark, sf):
+    """Texts packed 256 to an archive, published as files by two runs, of which the second writes nothing, and read back from there."""
+    docs = read(spark, sf, "documents").where("text is not null")
+    named = docs.select(F.expr("doc_id div 256").alias("archive"), F.concat("doc_id", F.lit(".txt")).alias("member"), "text")
+    root, dest = scratch(spark, "archives"), scratch(spark, "published")
+    archives.pack(named, root, "archive", "member", "text")
+    archives.publish(spark, root, dest)
+    again = archives.publish(spark, root, dest)
+    stored = readers.checksums(spark, f"{dest}/[0-9]*").select("sha256", F.regexp_extract("path", "([0-9]+/[0-9]+[.]txt)$", 1).alias("path"))
+    back = stored.join(archives.manifest(spark, dest), ["sha256", "path"])
+    return back.select(F.regexp_extract("path", "/([0-9]+)", 1).cast("long").alias("doc_id"), "sha256", F.col("version").cast("int").alias("version"), F.lit(again).alias("written_again"))
+
+
 @query("SELECT 'missing' AS kind, unnest(['question', 'score', 'split']) AS name UNION ALL SELECT 'extra', unnest(['doc_id', 'n_chars'])")
 def schema_report(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", F.col("source").alias("question_id"), F.lit("").alias("reference_answer"), F.col("text").alias("student_answer"), F.lit("").alias("label"), F.col("lang").alias("dataset"), F.col("lang").alias("domain"), "n_chars")

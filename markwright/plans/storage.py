@@ -16,3 +16,9 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="markwright-scratch-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def hadoop(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path in its terms."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
