@@ -408,3 +408,10 @@ def official(folds: list[int], others: dict[str, int]) -> tuple[dict[str, set[in
     """
     train = {f"oof-{f}": set(folds) - {f} for f in folds} | {"full": set(folds)}
     return train, {f"oof-{f}": {f} for f in folds} | {"full": set(others.values())}
+
+
+def crossed(k: int) -> tuple[dict[str, set[int]], dict[str, set[int]]]:
+    """Two cross-validations over the same rows, by slots grouped fold x k + stratified fold: cells ``grouped-f`` and ``stratified-f``."""
+    slots = range(k * k)
+    tests = {f"grouped-{f}": {s for s in slots if s // k == f} for f in range(k)} | {f"stratified-{f}": {s for s in slots if s % k == f} for f in range(k)}
+    return {c: set(slots) - s for c, s in tests.items()}, tests

@@ -14,7 +14,7 @@ from ..operators import features as ft
 from ..operators import migration, protocol, splits, validation, vector_store
 from ..schema import TASKS, coerce, column_report
 from ..sources import archives, readers, sinks
-from .answer_queries import query, r6
+from .answer_queries import _GROUPED, query, r6
 from .fixtures import ANSWERS, PREDS, answers, preds, read, with_
 from .storage import scratch
 
@@ -266,6 +266,24 @@ def stratified_probe(spark, sf):
     return r6(protocol.probe_inflation(a, splits.stratified(a, ["dataset"]).select("row_id", "fold")), "rmse")
 
 
+_BOTH_PROBES = """, fo AS (SELECT 'stratified' AS kind, question_id, score, fold FROM st WHERE score IS NOT NULL UNION ALL SELECT 'grouped', question_id, score, fold FROM answers JOIN gf USING (question_id) WHERE score IS NOT NULL),
+q AS (SELECT kind, fold, question_id, sum(score) AS s, count(*) AS n FROM fo GROUP BY ALL), t AS (SELECT kind, question_id, sum(s) AS qs, sum(n) AS qn FROM q GROUP BY ALL),
+f AS (SELECT kind, fold, sum(s) AS fs, sum(n) AS fn FROM q GROUP BY ALL), g AS (SELECT kind, sum(s) AS ts, sum(n) AS tn FROM q GROUP BY ALL),
+p AS (SELECT q.kind, q.fold, q.question_id, coalesce((qs - s) / nullif(qn - n, 0), (ts - fs) / nullif(tn - fn, 0)) AS y FROM q JOIN t USING (kind, question_id) JOIN f USING (kind, fold) JOIN g USING (kind)),
+r AS (SELECT sqrt(avg((score - y) ** 2) FILTER (kind = 'stratified')) AS a, sqrt(avg((score - y) ** 2) FILTER (kind = 'grouped')) AS b FROM fo JOIN p USING (kind, fold, question_id))
+SELECT round(a, 6) AS stratified, round(b, 6) AS "grouped", round(a - b, 6) AS inflation FROM r"""
+
+
+@query(with_(ANSWERS, _BINNED, _GROUPED) + _BOTH_PROBES)
+def shortcut_inflation(spark, sf):
+    """Leakage inflation of the question-mean shortcut: its error over folds that split questions, less that over grouped folds."""
+    a = answers(spark, sf)
+    grouped = a.join(splits.grouped(a.withColumn("__one", F.lit(1)), ["__one"]).select("question_id", "fold"), "question_id")
+    one, other = (protocol.probe_inflation(a, f.select("row_id", "fold")).select(F.col("rmse").alias(n)) for n, f in (("stratified", splits.stratified(a, ["dataset"])), ("grouped", grouped)))
+    both = one.crossJoin(F.broadcast(other))  # one row each
+    return r6(both.withColumn("inflation", F.col("stratified") - F.col("grouped")), "stratified", "grouped", "inflation")
+
+
 @query(A + "SELECT row_id, regexp_matches(student_answer, '[^\\x00-\\x7F]') AS non_ascii FROM answers")
 def non_ascii_rows(spark, sf):
     """Rows that compatibility normalisation may change; the others skip Python."""

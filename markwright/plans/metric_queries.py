@@ -314,6 +314,22 @@ def gbt_official_oof(spark, sf):
     return r6(partitioned_gbt.predicted(rows, _COLS, heads, tests).select("row_id", "cell", "y_true", "y_pred"), "y_pred")
 
 
+@query()
+def gbt_leakage_inflation(spark, sf):
+    """A head's pooled error over folds that split questions, less that over grouped folds; both cross-validations read one stored matrix."""
+    a = answers(spark, sf)
+    m = _matrix(spark, sf).join(splits.stratified(a, ["dataset"]).select("row_id", F.col("fold").alias("other")), "row_id")
+    m = m.join(_folds(spark, sf).select("question_id", "fold"), "question_id")
+    path = scratch(spark, "head-matrix")
+    m.select("row_id", (5 * F.col("fold") + F.col("other")).cast("int").alias("slot"), F.col("score").cast("double").alias("y"), *_COLS).write.option("compression", "zstd").parquet(path)
+    rows = spark.read.parquet(path)
+    train, tests = partitioned_gbt.crossed(5)
+    out = partitioned_gbt.predicted(rows, _COLS, partitioned_gbt.fit(rows, _COLS, train, "regression", _SMALL), tests).where("y_true is not null")
+    error = lambda kind: F.sqrt(F.avg(F.when(F.col("cell").startswith(kind), (F.col("y_true") - F.col("y_pred")) ** 2)))
+    both = out.agg(error("stratified").alias("stratified"), error("grouped").alias("grouped"))
+    return r6(both.withColumn("inflation", F.col("stratified") - F.col("grouped")), "stratified", "grouped", "inflation")
+
+
 @query()
 def gbt_ablation(spark, sf):
     """The grid with the lexical and the negation columns left out in turn, against the full set."""

@@ -95,3 +95,12 @@ def test_nested_folds_serve_both_sides(spark):
     assert got["outer-1", 1] == (1, None) and got["inner-0-2", 0] == (2, 0) and got["inner-0-2", 2] == (0, 2)
     assert sorted((o, i) for o, i in got.values() if i is not None) == [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)]
     assert all(not {o, i} & train[c] for (c, _), (o, i) in got.items())
+
+
+def test_crossed_folds_part_the_slots():
+    train, tests = pg.crossed(3)
+    for kind in ("grouped", "stratified"):
+        own = [tests[f"{kind}-{f}"] for f in range(3)]
+        assert sorted(s for t in own for s in t) == list(range(9))
+    assert tests["grouped-1"] == {3, 4, 5} and tests["stratified-1"] == {1, 4, 7}
+    assert all(not train[c] & tests[c] and len(train[c]) == 6 for c in train)
