@@ -61,7 +61,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts have no ids. Each row is encoded for itself, so repeated and null ids change nothing. Columns named
     ids, n_tokens or round_trip, in any case, are replaced; others pass through.
     """
-    return piece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+    return piece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), text=False)
 
 
 STAGES = [

@@ -54,13 +54,13 @@ _remembered: dict[str, dict] = {}
 def remembered(owner: str) -> dict:
     """What the operator ``owner`` keeps in this Python worker from task to task; what others kept there goes.
 
-    Workers outlive a query, and an executor's memory has room for the words of one operator only.
+    Workers outlive a query, and an executor's memory has room for the words of one operator only. Free memory that
+    earlier tasks left with the allocators goes back too: that of Arrow, and that of the C library below Python and numpy.
     """
-    others = [x for x in _remembered if x != owner]
-    for x in others:
+    for x in [x for x in _remembered if x != owner]:
         del _remembered[x]
-    if others:
-        pa.default_memory_pool().release_unused()
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
     return _remembered.setdefault(owner, {})
 
 

@@ -19,7 +19,8 @@ or null ids and extra columns change nothing.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import struct
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .common import remembered
+from .common import blocks, remembered, utf8
 
 BLANK = "▁"
-WORDS = 900_000  # words a worker remembers (about 200 MB)
+WORDS = 400_000  # words a worker remembers (about 60 MB)
+SHORT = 64  # characters of the longest word that is remembered
 UNKNOWN_PENALTY = 10.0
 _PARTS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
@@ -47,7 +49,7 @@ class Vocabulary:
         normal = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
         self.score = {text[i]: (sp.get_score(i), i) for i in normal}
         self.longest = max(map(len, self.score))
-        self.prefixes = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
+        self.begun = {p[:k]: None for p in self.score for k in range(1, len(p) + 1)} | self.score  # what begins a piece; its score and id if it is one
         self.unknown_id = sp.unk_id()
         self.unknown = min(s for s, _ in self.score.values()) - UNKNOWN_PENALTY
         self.byte_id = {int(text[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
@@ -63,6 +65,30 @@ class Vocabulary:
         own = [self.byte_id.get(b) for b in char.encode("utf-8", "surrogatepass")]
         return [self.unknown_id] if None in own else own
 
+    def segmented(self, text: str) -> list[int]:
+        """The ids that ``StreamingViterbi`` gives for a text that is there as a whole, and short."""
+        begun, longest, n = self.begun, self.longest, len(text)
+        best, back = [0.0] + [float("-inf")] * n, [(0, -1)] * (n + 1)
+        for at in range(n):
+            base, single = best[at], False
+            for end in range(at + 1, min(at + longest, n) + 1):
+                own = begun.get(text[at:end], False)
+                if own:
+                    single |= end == at + 1
+                    if (total := base + own[0]) > best[end]:
+                        best[end], back[end] = total, (at, own[1])
+                elif own is False:
+                    break
+            if not single and (total := base + self.unknown) > best[at + 1]:
+                best[at + 1], back[at + 1] = total, (at, -1)
+        ids, end = [], n
+        while end > 0:
+            before, piece = back[end]
+            ids += [piece] if piece >= 0 else self.spelled(text[before:end])[::-1]
+            end = before
+        ids.reverse()
+        return ids
+
 
 class StreamingViterbi:
     """Feed text in pieces of any size; ids come out as soon as they are certain."""
@@ -91,16 +117,16 @@ class StreamingViterbi:
     def _advance(self, stop: int) -> list[int]:
         """Extend all starts before ``stop``: their pieces lie within the text seen."""
         out: list[int] = []
-        score, prefixes, longest, unknown = self.v.score, self.v.prefixes, self.v.longest, self.v.unknown
+        begun, longest, unknown = self.v.begun, self.v.longest, self.v.unknown
         at, best, back, text = self.at, self.best, self.back, self.text
         while at < stop:
             base = best.pop(at)
             single = False
             for end in range(at + 1, min(at + longest, len(text)) + 1):
-                piece = text[at:end]
-                if piece not in prefixes:
+                own = begun.get(text[at:end], False)
+                if own is False:
                     break
-                if (own := score.get(piece)) is not None:
+                if own:
                     single |= end == at + 1
                     total = base + own[0]
                     if end not in best or total > best[end]:
@@ -148,29 +174,31 @@ class Codec:
         self.words: dict[str, bytes] = {}
 
     def _ids(self, part: str) -> bytes:
+        if len(part) <= SHORT:
+            own = self.v.segmented(part)
+            return struct.pack(f"<{len(own)}i", *own)
         got = self.stream.push(part)
         return np.array(got + self.stream.finish(), "<i4").tobytes()
 
+    def _learn(self, word: str) -> bytes:
+        ids = self._ids(BLANK + word)
+        if len(word) < SHORT:
+            if len(self.words) >= WORDS:  # the half that came first stays: frequent words come early
+                self.words = dict(islice(self.words.items(), WORDS // 2))
+            self.words[word] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian 32-bit integers."""
         if not text:
             return b""
-        words = self.words
-        if len(words) > WORDS:
-            words.clear()
         if self.v.crosses:
             return self._ids(BLANK + text.replace(" ", BLANK))
         if "  " in text or text[0] == " " or text[-1] == " " or BLANK in text:
             parts = _PARTS.findall(BLANK + text.replace(" ", BLANK))
         else:
-            parts = text.split(" ")
-            try:
-                return b"".join([words[p] for p in parts])
-            except KeyError:
-                for p in parts:
-                    if p not in words:
-                        words[p] = self._ids(BLANK + p)
-                return b"".join([words[p] for p in parts])
+            known = self.words.get
+            return b"".join([known(p) or self._learn(p) for p in text.split(" ")])
         return b"".join([self._ids(p) for p in parts])
 
     def decode(self, ids: np.ndarray) -> str:
@@ -186,39 +214,31 @@ def _codec(path: str) -> Codec:
     return own[path]
 
 
-def _pieces(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    i = 0
-    while i < len(texts):
-        j, n = i, 0
-        while j < len(texts) and (j == i or n < most):
-            n += len(texts[j] or "")
-            j += 1
-        yield i, j
-        i = j
-
-
-def encode(docs: DataFrame, model: str) -> DataFrame:
+def encode(docs: DataFrame, model: str, text: bool = True) -> DataFrame:
     """``docs`` with ``ids`` (array of int), ``n_tokens`` and ``round_trip`` (decoding gives the text again; a null text counts as empty).
 
-    Columns of ``docs`` with one of these names, in any case, are replaced; all others pass through.
+    Columns of ``docs`` with one of these names, in any case, are replaced; all others pass through, ``text`` only if asked for.
     """
     names = [f for f in docs.schema.fields if f.name.lower() not in ("ids", "n_tokens", "round_trip")]
     own_names, at = [f.name for f in names], [f.name for f in names].index("text")
     docs = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own_names)])  # positional names, whatever a name holds
-    schema = StructType([*docs.schema.fields]).add("ids", ArrayType(IntegerType())).add("n_tokens", "long").add("round_trip", "boolean")
+    fields = [f for i, f in enumerate(docs.schema.fields) if text or i != at]
+    schema = StructType(fields).add("ids", ArrayType(IntegerType())).add("n_tokens", "long").add("round_trip", "boolean")
 
     def run(parts):
         codec = _codec(model)
         for batch in parts:
-            texts = batch.column(at).to_pylist()
-            for i, j in _pieces(texts):
-                raw = [codec.encode(t or "") for t in texts[i:j]]
+            for i, j in blocks(utf8(batch.column(at))[1]):
+                own = batch.slice(i, j - i)
+                texts = own.column(at).to_pylist()
+                raw = [codec.encode(t or "") for t in texts]
                 size = np.array([len(x) // 4 for x in raw], np.int64)
                 flat = np.frombuffer(b"".join(raw), "<i4")
                 bound = np.concatenate([[0], np.cumsum(size)])
-                same = [codec.decode(flat[a:b]) == (t or "") for a, b, t in zip(bound[:-1], bound[1:], texts[i:j], strict=True)]
+                same = [codec.decode(flat[a:b]) == (t or "") for a, b, t in zip(bound[:-1], bound[1:], texts, strict=True)]
                 ids = pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(flat))
-                own = batch.slice(i, j - i)
+                if not text:
+                    own = own.remove_column(at)
                 yield pa.RecordBatch.from_arrays([*own.columns, ids, pa.array(size), pa.array(same)], [*own.schema.names, "ids", "n_tokens", "round_trip"])
 
-    return docs.mapInArrow(run, schema).toDF(*own_names, "ids", "n_tokens", "round_trip")
+    return docs.mapInArrow(run, schema).toDF(*[c for i, c in enumerate(own_names) if text or i != at], "ids", "n_tokens", "round_trip")
