@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def rows_a_batch(spark: SparkSession, most: int) -> Iterator[None]:
+    """What runs inside hands at most ``most`` rows at a time to Python; a smaller setting of the session holds.
+
+    Whole texts in batches of Spark's 10,000 rows take some 100 MB of an executor for each task, on both sides.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= most:
+        spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def filesystem(path: str):
     """(pyarrow filesystem, path) of a local or remote address, for files Spark has no writer for."""
     from pyarrow import fs

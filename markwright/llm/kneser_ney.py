@@ -35,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks as runs_of
-from .common import filesystem, shared_path, utf8, written
+from .common import filesystem, remembered, rows_a_batch, shared_path, utf8, written
 from .textops import mix
 
 ORDER = 5
 HELD = 3_000_000  # distinct n-grams a training task holds before it emits them
 CHUNK = 1 << 26  # bytes of text that ask for their n-grams together
+PIECE = 1 << 18  # bytes of text whose windows a task holds at a time
+ROWS = 1000  # rows of an Arrow batch
 BROADCAST_IDS = 2_000_000
 START = "\x02"
 _BLANKS = " \t\n\v\f\r\x00" + START
@@ -131,7 +133,7 @@ def _pieces(parts) -> Iterator[tuple[pa.RecordBatch, int, int, int, list[str | N
     for batch in parts:
         column = batch.column("text")
         _, off = utf8(column)
-        for i, j in runs_of(off):
+        for i, j in runs_of(off, PIECE):
             yield batch, i, j, base + seen // CHUNK, column.slice(i, j - i).to_pylist()
             seen += int(off[j] - off[i])
 
@@ -140,6 +142,7 @@ def _grams(counted: bool):
     """Distinct n-grams, their hash, their characters and number: of a task's texts for training, else of each block of them."""
 
     def run(parts):
+        remembered("kneser_ney")
         held, block = Distinct(), 0
         for _, _, _, now, texts in _pieces(parts):
             if now != block and not counted or len(held) > HELD and counted:
@@ -241,6 +244,7 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
     packed.mapInArrow(store, "block long").agg(F.count("*")).collect()
 
     def score(parts):
+        remembered("kneser_ney")
         fs, base = filesystem(folder)
         block, key, logp = -1, None, None
         for batch, i, j, now, texts in _pieces(parts):
@@ -277,7 +281,8 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99) -> Dat
     if text.isEmpty():
         none = F.lit(None).cast("double")
         return base.select("doc_id", "lang", F.lit(0).cast("long").alias("n_scored"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
-    scored = written(perplexity(base, train(text)), "perplexities")
+    with rows_a_batch(docs.sparkSession, ROWS):
+        scored = written(perplexity(base, train(text)), "perplexities")
     good = scored.where("perplexity is not null").join(ids.where(aside), "doc_id", "left_semi")
     at = lambda: F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000))
     own = good.groupBy("lang").agg(at().alias("own")).withColumnRenamed("lang", "l")  # one row a language

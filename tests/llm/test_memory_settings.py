@@ -2,15 +2,43 @@
 
 import datetime
 
+import pyarrow as pa
 import pytest
 
-from markwright.llm import change_feed
+from markwright.llm import change_feed, common, kneser_ney
+
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 class Seen(Exception):
     pass
 
 
+def test_rows_a_batch(spark):
+    def sizes(parts):
+        for batch in parts:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    before = spark.conf.get(ROWS)
+    with common.rows_a_batch(spark, 50):
+        got = [r.n for r in spark.range(0, 1000, 1, 2).mapInArrow(sizes, "n long").collect()]
+        with common.rows_a_batch(spark, 90):
+            assert spark.conf.get(ROWS) == "50"
+    assert max(got) == 50 and sum(got) == 1000 and spark.conf.get(ROWS) == before
+
+
+def test_classifier_takes_small_batches(spark, monkeypatch):
+    def seen(*_):
+        raise Seen(spark.conf.get(ROWS))
+
+    monkeypatch.setattr(kneser_ney, "train", seen)
+    before = spark.conf.get(ROWS)
+    docs = spark.createDataFrame([(i, "some text", "en") for i in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(Seen, match=str(kneser_ney.ROWS)):
+        kneser_ney.classify(docs, docs.select("doc_id"))
+    assert spark.conf.get(ROWS) == before
+
+
 def test_stores_are_closed_by_their_tasks(spark, monkeypatch):
     name = "spark.sql.streaming.stateStore.unloadOnCommit"
 
