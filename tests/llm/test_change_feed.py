@@ -1,6 +1,7 @@
 """Operator 12 against a plain loop over the same rows."""
 
 import datetime as dt
+import pathlib
 import zlib
 
 import pyarrow as pa
@@ -94,3 +95,20 @@ def test_equals_a_plain_loop(spark, tmp_path, monkeypatch):
 def test_an_empty_table_gives_no_rows(spark):
     empty = spark.createDataFrame([], "change_id long, client_id long, seq long, op string, valid_at timestamp_ntz, source string, segment string, city string, balance double")
     assert change_feed.sequenced(empty).collect() == []
+
+
+def test_one_store_a_partition_and_repeats_across_batches(spark, tmp_path, monkeypatch):
+    """Every start opens stores whose memory an executor never gets back whole: the query keeps one state, which rejects what earlier batches hold or applied."""
+    folders = []
+    old = change_feed.run_batch
+    monkeypatch.setattr(change_feed, "run_batch", lambda s, folder, b: (folders.append(folder), old(s, folder, b)))
+    at = lambda day: dt.datetime(2024, 1, 1) + dt.timedelta(days=day)
+    base = {"source": "web", "segment": None}
+    # Numbers 3 and up wait behind a gap in batch 1 and come again in the same batch, in the next and far later; 1 and 2 come last, again and again.
+    rows = [{"change_id": 1000 * k + i, "client_id": 1, "seq": i, "op": "IUD"[(i + k) % 3], "valid_at": at(day), "city": f"c{i}-{k}", "balance": i + k / 4} | base for k, day in enumerate((1, 2, 2, 14, 17, 60, 118)) for i in range(3, 40)]
+    rows += [{"change_id": 9000 + i, "client_id": 1, "seq": 1 + i % 2, "op": "U", "valid_at": at(i), "city": None, "balance": float(i)} | base for i in range(15, 119, 2)]
+    pq.write_table(pa.Table.from_pylist(rows, SCHEMA), tmp_path / "client_changes.parquet", coerce_timestamps="us")
+    got = change_feed.sequenced(spark.read.parquet(str(tmp_path / "client_changes.parquet")))
+    names = ["change_id", "client_id", "status", "batch", "missed", "city", "cents", "current"]
+    assert sorted((tuple(r) for r in got.select(*names).collect()), key=str) == brute(rows)
+    assert [p.name for p in pathlib.Path(folders[0].removeprefix("file://"), "checkpoint", "state").iterdir() if p.name.isdigit()] == ["0"]
