@@ -2,17 +2,39 @@
 
 Each stage takes (spark, docs, sf_dir) and works on every document its
 predecessor kept. All but the last return the columns of ``documents``.
+Stages with Python in them set the session to hand it at most ``ROWS`` rows at a
+time, unless it has a smaller setting, and leave it so: what a stage returns runs
+when its caller writes it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markwright.llm import common, decontaminate, jaccard_join, language_id, line_dedup, piece_codec
 
+ROWS = 2000  # texts that go to Python together; 10,000 are some 20 MB, which an executor holds several times for each task
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def small_batches(stage: Stage) -> Stage:
+    """``stage``, with texts going to Python at most ``ROWS`` at a time."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.keep_rows_a_batch(spark, ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
+@small_batches
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no learned language or in another one than their label says; an unlabelled one only needs a language.
 
@@ -25,6 +47,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return jaccard_join.without(docs, rejected)
 
 
+@small_batches
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays: that with the smallest doc_id.
 
@@ -34,6 +57,7 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return jaccard_join.keep_one(docs)
 
 
+@small_batches
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated units; a document with nothing left goes.
 
@@ -55,6 +79,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@small_batches
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left.
 

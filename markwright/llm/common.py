@@ -56,6 +56,13 @@ def rows_a_batch(spark: SparkSession, most: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def keep_rows_a_batch(spark: SparkSession, most: int) -> None:
+    """As ``rows_a_batch``, but the session keeps the setting: for a plan that runs only when its caller writes it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, most)
+
+
 def filesystem(path: str):
     """(pyarrow filesystem, path) of a local or remote address, for files Spark has no writer for."""
     from pyarrow import fs

@@ -53,3 +53,25 @@ def test_stores_are_closed_by_their_tasks(spark, monkeypatch):
     with pytest.raises(Seen, match="true"):
         change_feed.apply_changes(changes)
     assert before == "false" and spark.conf.get(name) == before
+
+
+def test_pipeline_stages_take_small_batches(spark):
+    import corpus_pipeline
+
+    def sizes(parts):
+        for batch in parts:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    docs = spark.createDataFrame([(i, f"text {i}", "en") for i in range(3)], "doc_id long, text string, lang string")
+    before = spark.conf.get(ROWS)
+    try:
+        for _, stage in (x for x in corpus_pipeline.STAGES if x[1].__name__ != "decontaminate_benchmark"):
+            spark.conf.set(ROWS, 10_000)
+            stage(spark, docs, "")
+            got = [r.n for r in spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long").collect()]  # as the stage's plan is, once its caller writes it
+            assert max(got) <= corpus_pipeline.ROWS and sum(got) == 5000
+        spark.conf.set(ROWS, 7)
+        corpus_pipeline.encode_pieces(spark, docs, "")
+        assert spark.conf.get(ROWS) == "7"
+    finally:
+        spark.conf.set(ROWS, before)
