@@ -112,3 +112,22 @@ def test_one_store_a_partition_and_repeats_across_batches(spark, tmp_path, monke
     names = ["change_id", "client_id", "status", "batch", "missed", "city", "cents", "current"]
     assert sorted((tuple(r) for r in got.select(*names).collect()), key=str) == brute(rows)
     assert [p.name for p in pathlib.Path(folders[0].removeprefix("file://"), "checkpoint", "state").iterdir() if p.name.isdigit()] == ["0"]
+
+
+def test_state_keeps_no_native_memory(spark, tmp_path, monkeypatch):
+    """Stores are plain files (RocksDB's keep memory for each store ever opened); NaN, null and long ids pass pandas unchanged, and dates past its nanoseconds."""
+    folders = []
+    old = change_feed.run_batch
+    monkeypatch.setattr(change_feed, "run_batch", lambda s, folder, b: (folders.append(folder), old(s, folder, b)))
+    big, base = 2**60 + 1, {"source": "web", "segment": None}
+    # 3 of a client waits behind 2, which never comes (its h is a multiple of 11 or it is undated); 2300 is past pandas' dates.
+    ids = [i for i in range(big, big + 60) if zlib.crc32(str(i).encode()) % 11]
+    days = [dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 6), dt.datetime(2300, 1, 1), dt.datetime(2300, 2, 1)]
+    rows = [{"change_id": ids[8 * k + i], "client_id": c, "seq": i, "op": "IUU"[i % 3], "valid_at": None if i == 2 else day, "city": None if i % 2 else f"c{i}", "balance": None if i == 3 else i / 4} | base for k, c in enumerate((big, big + 2, None)) for i, day in enumerate(days)]
+    pq.write_table(pa.Table.from_pylist(rows, SCHEMA), tmp_path / "client_changes.parquet", coerce_timestamps="us")
+    got = change_feed.sequenced(spark.read.parquet(str(tmp_path / "client_changes.parquet")))
+    names = ["change_id", "client_id", "status", "batch", "missed", "city", "cents", "current"]
+    assert sorted((tuple(r) for r in got.select(*names).collect()), key=str) == brute(rows)
+    state = pathlib.Path(folders[0].removeprefix("file://"), "checkpoint", "state", "0")
+    kinds = {p.suffix for p in state.rglob("*") if p.is_file() and not p.name.startswith(".")}
+    assert ".delta" in kinds and not kinds & {".zip", ".changelog", ".sst"}
