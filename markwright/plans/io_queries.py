@@ -156,16 +156,17 @@ def checksum_groups(spark, sf):
 
 @query("SELECT doc_id, sha256(text) AS sha256, 1 AS version, 0 AS written_again FROM documents WHERE text IS NOT NULL")
 def archive_publication(spark, sf):
-    """Texts packed 256 to an archive, published as files by two runs, of which the second writes nothing, and read back from there."""
+    """Texts packed 256 ids to an archive, published as files by two runs, of which the second writes nothing, and read back from there. A row is a file, whatever its id; rows of one id are numbered."""
     docs = read(spark, sf, "documents").where("text is not null")
-    named = docs.select(F.expr("doc_id div 256").alias("archive"), F.concat("doc_id", F.lit(".txt")).alias("member"), "text")
+    group = docs.select("doc_id", F.coalesce(F.expr("doc_id div 256").cast("string"), F.lit("none")).alias("archive"), "text").repartition("archive")
+    row = F.row_number().over(Window.partitionBy("archive", "doc_id").orderBy("text"))
+    named = group.select("archive", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit("."), row.cast("string"), F.lit(".txt")).alias("member"), "text")
     root, dest = scratch(spark, "archives"), scratch(spark, "published")
     archives.pack(named, root, "archive", "member", "text")
     archives.publish(spark, root, dest)
     again = archives.publish(spark, root, dest)
-    stored = readers.checksums(spark, f"{dest}/[0-9]*").select("sha256", F.regexp_extract("path", "([0-9]+/[0-9]+[.]txt)$", 1).alias("path"))
-    back = stored.join(archives.manifest(spark, dest), ["sha256", "path"])
-    return back.select(F.regexp_extract("path", "/([0-9]+)", 1).cast("long").alias("doc_id"), "sha256", F.col("version").cast("int").alias("version"), F.lit(again).alias("written_again"))
+    back = archives.read_back(spark, dest).where("found = sha256")
+    return back.select(F.regexp_extract("path", "/([^/.]+)[.][0-9]+[.]txt$", 1).try_cast("long").alias("doc_id"), F.col("found").alias("sha256"), F.col("version").cast("int").alias("version"), F.lit(again).alias("written_again"))
 
 
 @query("SELECT 'missing' AS kind, unnest(['question', 'score', 'split']) AS name UNION ALL SELECT 'extra', unnest(['doc_id', 'n_chars'])")

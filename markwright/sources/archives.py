@@ -145,6 +145,35 @@ def publish(spark: SparkSession, root: str, dest: str) -> int:
     return n
 
 
+def read_back(spark: SparkSession, dest: str) -> DataFrame:
+    """The manifest with each file's digest as it is now: sha256, path, version, found (null: no such file).
+
+    Files are opened by the manifest's paths: Spark's own file sources leave out empty ones.
+    """
+    uri = dest.rstrip("/") if "://" in dest else str(hadoop(spark, dest)[1].toUri().getPath())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
+
+        files, base = pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
+
+        def digest(path: str) -> str | None:
+            held = hashlib.sha256()
+            try:
+                with files.open_input_stream(f"{base}/{path}") as f:
+                    while data := f.read(1 << 20):
+                        held.update(data)
+            except FileNotFoundError:
+                return None
+            return held.hexdigest()
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([digest(p.as_py()) for p in b.column("path")], pa.string())], [*b.schema.names, "found"])
+
+    return manifest(spark, dest).repartition(parts, "path").mapInArrow(one, MANIFEST + ", found string")
+
+
 def pack(df: DataFrame, path: str, archive: str, member: str, text: str) -> None:
     """Zip archives of a column's texts, one for each value of ``archive``, which is to have few enough rows for a task."""
     from pyarrow import fs as pafs

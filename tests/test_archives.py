@@ -56,3 +56,14 @@ def test_a_failed_run_shows_nothing_in_the_manifest(spark, tmp_path):
     assert failed and archives.manifest(spark, str(dest)).isEmpty()
     packed(root / "a.zip", [("x", "file")])
     assert archives.publish(spark, str(root), str(dest)) == 1 and files(dest) == {"a/x": b"file"}
+
+
+def test_every_row_of_documents_is_published(spark, tmp_path):
+    """Empty texts, ids below 0, null ids and rows of one id are files like any other."""
+    from markwright.plans.io_queries import archive_publication
+
+    rows = [(1, "one"), (1, "another"), (1, "one"), (2, ""), (-3, "below"), (-700, "far below"), (None, "no id"), (300, None), (301, "é\r\n")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = archive_publication(spark, str(tmp_path)).collect()
+    want = [(i, hashlib.sha256(t.encode()).hexdigest(), 1, 0) for i, t in rows if t is not None]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
