@@ -27,3 +27,8 @@ def ft_rubric(df):
     from markwright.operators.rubric_text import sentence_similarities
 
     return sentence_similarities(ft.views(df, normalize=False))
+
+
+def test_padding_needs_no_negation_view(spark):
+    v = ft.views(answers(spark), normalize=False, negation=False)
+    assert ft.perturb(v, "length_pad").where("row_id = 2").first().s_tok[-1] == "basically"
