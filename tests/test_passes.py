@@ -32,3 +32,20 @@ def ft_rubric(df):
 def test_padding_needs_no_negation_view(spark):
     v = ft.views(answers(spark), normalize=False, negation=False)
     assert ft.perturb(v, "length_pad").where("row_id = 2").first().s_tok[-1] == "basically"
+
+
+def test_tfidf_counts_terms_within_their_row(spark):
+    v = ft.views(answers(spark), normalize=False, negation=False)
+    out = ft.tfidf_cosine(v, "s_tok", "r_tok")
+    assert "hashpartitioning(row_id" in plan(out) and not any("term#" in x for x in plan(out).splitlines() if "hashpartitioning(row_id" in x)
+    rows = [r for r in v.collect() if r.dataset is not None]
+    grams = lambda t: collections.Counter([*t, *zip(t, t[1:], strict=False)])
+    df = {d: collections.Counter(g for r in rows if r.dataset == d for side in (r.s_tok, r.r_tok) for g in grams(side)) for d in ("d", "e")}
+    n = {d: 2 * sum(r.dataset == d for r in rows) for d in df}
+    want = {4: 0.0}
+    for r in rows:
+        least = 2 if max(df[r.dataset].values()) >= 2 else 1
+        w = [{g: c * (math.log((1 + n[r.dataset]) / (1 + df[r.dataset][g])) + 1) for g, c in grams(t).items() if df[r.dataset][g] >= least} for t in (r.s_tok, r.r_tok)]
+        norm = math.sqrt(sum(x * x for x in w[0].values()) * sum(x * x for x in w[1].values()))
+        want[r.row_id] = sum(x * w[1].get(g, 0) for g, x in w[0].items()) / norm if norm else 0.0
+    assert {r.row_id: r.tfidf_cosine for r in out.collect()} == pytest.approx(want)
