@@ -49,3 +49,30 @@ def test_tfidf_counts_terms_within_their_row(spark):
         norm = math.sqrt(sum(x * x for x in w[0].values()) * sum(x * x for x in w[1].values()))
         want[r.row_id] = sum(x * w[1].get(g, 0) for g, x in w[0].items()) / norm if norm else 0.0
     assert {r.row_id: r.tfidf_cosine for r in out.collect()} == pytest.approx(want)
+
+
+def test_a_split_sums_its_smaller_side_only():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 4))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    y = np.where(np.nan_to_num(x[:, 0]) > 0.3, 2.0, np.nan_to_num(x[:, 1]))
+    seen = []
+
+    class Counted(gbt.Booster):
+        def _sums(self, flat, g, h, rows, shape):
+            seen.append(len(rows))
+            return super()._sums(flat, g, h, rows, shape)
+
+    model = Counted(n_estimators=1, num_leaves=12, min_child_samples=5).fit(x, y)
+    tree = model.trees[0][0]
+    inner = [i for i, f in enumerate(tree.feature) if f >= 0]
+    assert sum(seen) == 500 + sum(min(tree.cover[tree.left[i]], tree.cover[tree.right[i]]) for i in inner)
+    for i in inner:  # covers are those of the rows that come by
+        assert tree.cover[i] == tree.cover[tree.left[i]] + tree.cover[tree.right[i]]
+
+
+def test_cells_are_dealt_to_tasks_of_their_own(spark):
+    cells = spark.range(40).select(F.concat(F.lit("c"), F.col("id") % 4).alias("cell"), F.lit(1).alias("seed"), F.when(F.col("id") < 30, "train").otherwise("test").alias("role"), F.col("id").alias("row_id"), F.when(F.col("id") % 3 > 0, F.col("id").cast("double")).alias("y"), F.rand(1).alias("x"))
+    out = gbt.run_grid(cells, ["x"], "regression", {"n_estimators": 2, "min_child_samples": 2})
+    assert "REPARTITION_BY_NUM" in plan(out)
+    assert sorted(r.row_id for r in out.collect()) == list(range(30, 40))
