@@ -76,3 +76,8 @@ def test_cells_are_dealt_to_tasks_of_their_own(spark):
     out = gbt.run_grid(cells, ["x"], "regression", {"n_estimators": 2, "min_child_samples": 2})
     assert "REPARTITION_BY_NUM" in plan(out)
     assert sorted(r.row_id for r in out.collect()) == list(range(30, 40))
+
+
+def test_contributions_and_predictions_are_stored(spark):
+    assert all("/contributions-" in f for f in metric_queries._explained(spark, DATA).inputFiles())
+    assert any("/predictions-" in f or "/ranges-" in f for f in metric_queries.gbt_lodo(spark, DATA).inputFiles())
