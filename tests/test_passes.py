@@ -81,3 +81,28 @@ def test_cells_are_dealt_to_tasks_of_their_own(spark):
 def test_contributions_and_predictions_are_stored(spark):
     assert all("/contributions-" in f for f in metric_queries._explained(spark, DATA).inputFiles())
     assert any("/predictions-" in f or "/ranges-" in f for f in metric_queries.gbt_lodo(spark, DATA).inputFiles())
+
+
+def test_a_trial_is_fitted_once(spark, tmp_path, monkeypatch):
+    """However often the metric reads a batch's predictions."""
+    log = str(tmp_path)
+    monkeypatch.setattr(gbt, "SEARCH_SPACE", {"learning_rate": (0.05, 0.3, "log"), "num_leaves": (2, 4, 1), "n_estimators": (1, 3, 1)})
+    cells = spark.range(200).select(F.lit("dev").alias("cell"), F.lit(1).alias("seed"), F.when(F.col("id") % 3 > 0, "train").otherwise("test").alias("role"), F.col("id").alias("row_id"), (F.col("id") % 4).cast("double").alias("y"), F.rand(1).alias("x"))
+    real = gbt.tried
+    monkeypatch.setattr(gbt, "tried", lambda c, f, k, options: noted(real, c, f, k, options, log))
+    assert len(gbt.search(cells, ["x"], "ordinal", "qwk", 4, 2, 1)) == 4
+    assert len(list(tmp_path.iterdir())) == 4
+
+
+def noted(real, cells, features, kind, options, log):
+    """``tried``, with a file for each task that has a trial's rows."""
+
+    def touched(batches):
+        import uuid
+
+        for b in batches:
+            for i in b.column("trial").unique().to_pylist():
+                open(f"{log}/{i}-{uuid.uuid4().hex}", "w").close()
+            yield b
+
+    return real(cells, features, kind, options).mapInArrow(touched, "trial int, row_id long, y_true double, y_pred double")
