@@ -14,6 +14,15 @@ from markwright.plans import metric_queries
 DATA = "/root/testdata/sf0.001"
 
 
+def plan(df):
+    return df._jdf.queryExecution().toString().split("== Physical Plan ==")[-1]
+
+
+def answers(spark):
+    rows = [(1, "d", "No cat and not a dog. The cat isn't here", "The cat is not here. It ran"), (2, "d", "cat cat cat", "cat cat"), (3, "e", "", "Only this"), (4, None, "cat", "cat")]
+    return spark.createDataFrame(rows, "row_id long, dataset string, student_answer string, reference_answer string")
+
+
 def test_branches_of_a_row_need_no_join(spark):
     m = ft.matrix(answers(spark), ("lexical", "negation", "entities", "rubric", "semantic"), normalize=False)
     assert "Join" not in plan(m) and "Exchange" not in plan(m)
